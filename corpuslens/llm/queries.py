@@ -7,16 +7,23 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann_tree import every_hundredth, nearest_neighbours
 from .byte_bpe import decode, encode
+from .embedding_dedup import near_duplicate_vectors
+from .jaccard_join import jaccard_components
+from .language_ppm import identify_language, train_languages
+from .license_scan import scan_licenses
 from .mixing import mix_sources
+from .quality import quality_scores, train_quality
 from .substring_dedup import substring_dedup
+from .toxicity import learn_lexicon, toxicity_scores
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _vocabulary() -> tuple[str, str]:
+def vocabulary() -> tuple[str, str]:
     """The rank file and the pattern of the public tokenizer; its folder may be named by the environment."""
     import public_tokenizers
 
@@ -25,6 +32,11 @@ def _vocabulary() -> tuple[str, str]:
     return (os.path.join(folder, name) if folder else public_tokenizers.path(name)), public_tokenizers.PATTERN
 
 
+def _training(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Rows that may be learned from: crc32 of the id modulo 5 is not 0."""
+    return _table(spark, sf_dir, name).where("crc32(cast(string(doc_id) AS binary)) % 5 <> 0")
+
+
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -35,8 +47,31 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    scores = quality_scores(documents, train_quality(documents, _training(spark, sf_dir, "labels")))
+    return scores.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op4_ann_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = _table(spark, sf_dir, "embeddings")
+    return nearest_neighbours(embeddings, every_hundredth(embeddings))
+
+
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks, pattern = _vocabulary()
+    ranks, pattern = vocabulary()
     out = decode(encode(_table(spark, sf_dir, "documents"), ranks, pattern), ranks)
     return out.select(
         "doc_id",
@@ -46,5 +81,27 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_substring_dedup, op8_byte_bpe)}
+def op9_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(_table(spark, sf_dir, "documents"), train_languages(_training(spark, sf_dir, "documents")))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    scores = toxicity_scores(documents, learn_lexicon(documents, _training(spark, sf_dir, "labels")))
+    return scores.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_mix_sources, op2_substring_dedup, op3_quality, op4_ann_tree, op5_embedding_dedup, op6_license_scan,
+        op7_jaccard_join, op8_byte_bpe, op9_language_ppm, op10_toxicity, pipeline,
+    )
+}
 ORACLES: dict[str, str] = {}
