@@ -126,9 +126,12 @@ def _bit(c: Column) -> Column:
     return F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
 
 
-def _filter(ids: DataFrame) -> np.ndarray:
-    """A bit for the hash of every id, packed by the executors into FILTER_BITS / 64 numbers at most."""
-    bits = ids.select(_bit(F.col("id")).alias("bit"))
+def _element_bit(c: Column) -> Column:
+    return F.shiftrightunsigned(c, 40)
+
+
+def _filter(bits: DataFrame) -> np.ndarray:
+    """The numbers in column bit as a bitmap, packed by the executors into FILTER_BITS / 64 numbers at most."""
     words = bits.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(bit & 63)))").alias("bits"))
     out = np.zeros(FILTER_BITS // 64, dtype=np.int64)
     rows = words.toPandas()
@@ -136,6 +139,24 @@ def _filter(ids: DataFrame) -> np.ndarray:
     return out
 
 
+def _entries(shared):
+    """Groups -> their prefix elements that may occur in other groups too."""
+
+    def run(batches):
+        wanted = shared.value
+        for batch in batches:
+            lists = batch.column(2)
+            values = lists.flatten().to_numpy(zero_copy_only=False)
+            off = np.concatenate([[0], np.cumsum(np.diff(np.frombuffer(lists.buffers()[1], np.int32, count=len(lists) + 1, offset=4 * lists.offset)))])
+            bit = (values.view(U64) >> U64(40)).astype(np.int64)  # as _element_bit()
+            at = np.flatnonzero((wanted[bit >> 6] >> (bit & 63)) & 1 == 1)
+            row = np.searchsorted(off, at, side="right") - 1
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(values[at]), batch.column(0).take(take), batch.column(1).take(take), pa.array(at - off[row])], names=["element", "g", "n", "i"])
+
+    return run
+
+
 def _whole_sets(shared, k: int):
     def run(batches):
         wanted = shared.value
@@ -197,9 +218,12 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
     members = materialise(classes.join(groups.select("n", "p1", "g"), ["n", "p1"]).select("g", "n", F.col("id")))
 
-    elements = groups.select("g", "n", F.posexplode("prefix").alias("i", "element"))
-    lists = elements.groupBy("element").agg(F.count("*").alias("groups"), F.min("i").alias("i0"), F.min("n").alias("n0"), F.min_by("g", "i").alias("lead"), F.min_by("n", "i").alias("lead_n")).where("groups > 1")
-    entries = materialise(elements.join(lists, "element"))
+    # most elements stand in one group; those that don't are known by a bitmap first, exactly after that
+    shared = groups.select(F.explode("prefix").alias("element")).groupBy("element").agg(F.count("*").alias("groups")).where("groups > 1")
+    several = spark.sparkContext.broadcast(_filter(shared.select(_element_bit(F.col("element")).alias("bit"))))
+    entries = materialise(groups.select("g", "n", "prefix").mapInArrow(_entries(several), "element long, g long, n long, i long"))
+    lists = entries.groupBy("element").agg(F.count("*").alias("groups"), F.min("i").alias("i0"), F.min("n").alias("n0"), F.min_by("g", "i").alias("lead"), F.min_by("n", "i").alias("lead_n")).where("groups > 1")
+    entries = materialise(entries.join(lists, "element"))
     with_lead = entries.where("g <> lead").where(_may_be_similar("n", "i", "lead_n", "i0", percent))
     # of the leaders that a group could be similar to, the one nearest to a family's root
     best = with_lead.groupBy("g").agg(F.min_by("lead", "i0").alias("lead"))
@@ -208,7 +232,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     first = materialise(rooted.union(within).distinct())
 
     wanted = entries.select("g").distinct().join(members, "g").select("id").union(within.select(F.col("a").alias("id")))
-    bits = spark.sparkContext.broadcast(_filter(wanted))
+    bits = spark.sparkContext.broadcast(_filter(wanted.select(_bit(F.col("id")).alias("bit"))))
     sets = docs.select("did", "text", _bit(F.col("did")).alias("bit")).mapInArrow(_whole_sets(bits, k), "id long, elements binary")
     sets = materialise(sets)
     links = _verified(first, sets, percent)

@@ -8,8 +8,7 @@ are cut into the same windows. If a passage holds a share of CONTAINMENT of a te
 of one shingle have windows of one): that window equals one of the template's, and equal windows agree in every band.
 So the chance that the bands meet is 1 for whatever passes verification; passages changed more meet by similarity.
 
-The bands of all templates are a small table (a few rows a template) that is broadcast; within a text a bitmap of their
-hashes drops windows that meet no band before rows are made of them.
+The bands of all templates are a small table (a few rows a template) that is broadcast.
 """
 
 from __future__ import annotations
@@ -19,8 +18,6 @@ from pyspark.sql import functions as F
 
 #: Words of a shingle; share of a template's shingles that a passage must hold; bands and rows of a band.
 SHINGLE, CONTAINMENT, BANDS, ROWS = 5, 0.8, 2, 2
-#: Bits of the bitmap of band hashes.
-BITMAP_BITS = 1 << 16
 _SIGNS = r"[\x00-/:-@\[-`{-\x7F]+"
 
 #: Notices by licence: fixed texts.
@@ -38,41 +35,44 @@ TEMPLATES = {
 }
 
 
-def _bands(h: Column, window: int) -> Column:
-    """[(band hash, start)] for every window of `window` shingles (fewer at the end) and every band."""
+def _shingle(words: Column, i: Column) -> Column:
+    """The hash of the words from i on; elements are taken one by one, as slice() copies the whole array."""
+    return F.xxhash64(*[F.get(words, i + j) for j in range(SHINGLE)])
 
-    def key(i: Column, band: int) -> Column:
-        rows = [[F.xxhash64(F.get(h, i + j), F.lit(100 * band + row)) for j in range(window)] for row in range(ROWS)]
-        return F.xxhash64(*[F.least(*r) if window > 1 else r[0] for r in rows], F.lit(window * 1000 + band))
 
-    def band(number: int) -> Column:
-        return F.transform(h, lambda x, i: F.struct(key(i, number).alias("key"), i.alias("at")))
-
-    return F.concat(*[band(b) for b in range(BANDS)])
+def _keys(own: Column, following: Column) -> list[Column]:
+    """The hashes of the bands of the windows of one and of two shingles. A window of one is its own least, so it has
+    one band; a window that would reach beyond the text has one shingle only."""
+    row = lambda seed: F.least(F.xxhash64(own, F.lit(seed)), F.xxhash64(following, F.lit(seed)))
+    return [F.xxhash64(own, F.lit(1))] + [F.xxhash64(*[row(100 * b + r) for r in range(ROWS)], F.lit(2 + b)) for b in range(BANDS)]
 
 
 def template_bands(spark, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """(license, m, shingles, key): a row for every band of every window of a template; templates of fewer words than a
-    shingle are left out. The table is made on the driver: it is as small as the templates."""
-    texts = spark.createDataFrame(sorted(templates.items()), "license string, text string")
-    hashed = {r["license"]: list(dict.fromkeys(r["h"])) for r in texts.select("license", _hashes(_words_of(F.col("text"))).alias("h")).collect()}
-    schema = "license string, m int, shingles array<long>"
-    rows = []
-    for window in (1, 2):
-        of = spark.createDataFrame([(name, len(h), h) for name, h in hashed.items() if h and (len(h) == 1) == (window == 1)], schema)
-        rows += [(r["license"], r["m"], r["shingles"], b["key"]) for r in of.select("*", _bands(F.col("shingles"), window).alias("bands")).collect() for b in r["bands"]]
-    return spark.createDataFrame(sorted({(r[0], r[3]): r for r in rows}.values(), key=lambda r: (r[0], r[3])), f"{schema}, key long")
+    shingle are left out. The table is collected and made again: it is as small as the templates."""
+    texts = spark.createDataFrame(sorted(templates.items()), "license string, text string").select("license", _words_of(F.col("text")).alias("words"))
+    starts = texts.select("license", "words", F.explode_outer(_starts(F.col("words"))).alias("i"))
+    hashed = starts.select("license", "i", _shingle(F.col("words"), F.col("i")).alias("h"), _shingle(F.col("words"), F.col("i") + 1).alias("h1"))
+    found = hashed.select("license", "i", "h", *[k.alias(f"k{n}") for n, k in enumerate(_keys(F.col("h"), F.col("h1")))]).collect()
+    shingles: dict[str, list[int]] = {}
+    for r in found:
+        if r["i"] is not None and r["h"] not in shingles.setdefault(r["license"], []):
+            shingles[r["license"]].append(r["h"])
+    rows = {}
+    for r in found:
+        h = shingles.get(r["license"])
+        for key in [r["k0"]] if h and len(h) == 1 else [r[f"k{n + 1}"] for n in range(BANDS)] if h else []:
+            rows[r["license"], key] = (r["license"], len(h), h, key)
+    return spark.createDataFrame([rows[k] for k in sorted(rows)], "license string, m int, shingles array<long>, key long")
 
 
 def _words_of(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), _SIGNS), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), _SIGNS), "")
 
 
-def _hashes(words: Column) -> Column:
-    """The hash of every SHINGLE words. Elements are taken one by one: slice() copies the whole array each time."""
-    last = F.size(words) - SHINGLE
-    shingle = lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(SHINGLE)])
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), shingle)).otherwise(F.array().cast("array<bigint>"))
+def _starts(words: Column) -> Column:
+    """Where shingles begin; null if nowhere."""
+    return F.when(F.size(words) >= SHINGLE, F.sequence(F.lit(0), F.greatest(F.size(words) - SHINGLE, F.lit(0))))
 
 
 def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
@@ -83,20 +83,18 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     other columns are not looked at. Templates are few: their bands are broadcast."""
     spark = df.sparkSession
     bands = template_bands(spark, templates)
-    bit = lambda key: F.pmod(key, F.lit(BITMAP_BITS)).cast("int")
-    bitmap = [0] * (BITMAP_BITS // 64)
-    for row in bands.select(bit(F.col("key")).alias("bit")).distinct().collect():  # a few rows a template
-        bitmap[row["bit"] >> 6] |= 1 << (row["bit"] & 63)
-    bits = F.lit([b - (1 << 64) if b >> 63 else b for b in bitmap])
-    meets = lambda b: F.get(bits, F.shiftright(bit(b["key"]), 6)).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bit(b["key"]).bitwiseAND(63))) != 0
-    # no filter before the explosion (and an outer one): Catalyst would push it down to the scan and put the splitting
-    # of the text into the lambdas, once for every shingle
+    # a row for every window and band, made, looked up and dropped again within one stage of generated code; the outer
+    # explosion is so since the filter that Catalyst derives from an inner one would split every text twice
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), _words_of(F.col(text_col).cast("string")).alias("words"))
-    docs = docs.select("doc_id", _hashes(F.col("words")).alias("h"))
-    docs = docs.select("doc_id", "h", F.concat(F.filter(_bands(F.col("h"), 1), meets), F.filter(_bands(F.col("h"), 2), meets)).alias("met"))
-    met = docs.select("doc_id", "h", F.explode_outer("met").alias("b")).select("doc_id", "h", F.col("b.key").alias("key"), F.col("b.at").alias("at"))
-    found = met.join(F.broadcast(bands), "key")
-    passage = F.slice("h", F.greatest(F.col("at") - F.col("m"), F.lit(0)) + 1, 2 * F.col("m") + 2)
+    windows = docs.select("doc_id", "words", F.explode_outer(_starts(F.col("words"))).alias("at"))
+    windows = windows.select("doc_id", "words", "at", _shingle(F.col("words"), F.col("at")).alias("h"), _shingle(F.col("words"), F.col("at") + 1).alias("h1"))
+    keyed = windows.select("doc_id", "words", "at", F.explode(F.array(*_keys(F.col("h"), F.col("h1")))).alias("key"))
+    found = keyed.join(F.broadcast(bands), "key").where("at IS NOT NULL")
+    passage = F.transform(F.sequence(F.greatest(F.col("at") - F.col("m"), F.lit(0)), F.col("at") + F.col("m") + 1), lambda i: _shingle(F.col("words"), i))
     share = F.size(F.array_intersect(passage, "shingles")) / F.col("m")
-    found = found.select("doc_id", "license", "at", share.alias("containment")).where(F.col("containment") >= containment)
-    return found.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.min("at").cast("long").alias("at"))
+    # the share is compared after the aggregate: as a filter below it would become a condition of the join, and an
+    # expression without generated code there would take the join, and with it every window, out of its stage
+    passes = F.col("share") >= containment
+    found = found.select("doc_id", "license", "at", share.alias("share")).groupBy("doc_id", "license")
+    found = found.agg(F.max("share").alias("containment"), F.min(F.when(passes, F.col("at"))).cast("long").alias("at"))
+    return found.where(F.col("containment") >= containment)
