@@ -16,11 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, worker_cache
+from .common import buffers, text_chunks, worker_cache
 
 #: Bytes of text whose new pieces are merged together, and how many pieces a task remembers.
-BLOCK_BYTES = 12 << 20
-REMEMBER = 1 << 20
+BLOCK_BYTES = 6 << 20
+REMEMBER = 1 << 19
+#: Bytes of ids that are decoded together.
+DECODE_BYTES = 1 << 20
 _NONE = np.int64(1 << 40)
 
 
@@ -211,13 +213,10 @@ def _encode(shared, pattern: str):
 def _decode(shared):
     def run(batches):
         merges = _merges(shared)
-        for batch in batches:
-            data, off = buffers(batch.column(1))
-            ids = np.frombuffer(data[off[0] : off[-1]].tobytes(), dtype="<u4")
-            out, cut = merges.decode(ids)
-            off = cut[(off - off[0]) // 4].astype(np.int64)
-            raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(off), pa.py_buffer(out)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), raw.cast(pa.binary())], names=["doc_id", "tokens", "bytes"])
+        for rows, data, off in text_chunks(batches, "tokens", DECODE_BYTES):
+            out, cut = merges.decode(np.frombuffer(data.tobytes(), dtype="<u4"))
+            raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), rows.num_rows, [None, pa.py_buffer(cut[off // 4].astype(np.int64)), pa.py_buffer(out)])
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), raw.cast(pa.binary())], names=["doc_id", "tokens", "bytes"])
 
     return run
 
