@@ -91,9 +91,9 @@ def mix_sources(
     turns = turns.withColumn("finish", (F.col("turn") * F.col("source_size") + F.col("up_to")) / F.col("target"))
     turns = turns.select("did", "h", "size", "source", "turn", "finish", F.floor(F.least("finish", F.lit(4.0)) * buckets).alias("slot"))
     lined = _running(turns, [], "slot", ["finish", "source", "h", "did", "turn"], "size", "words")
-    limit = targets.agg(F.sum("target").alias("limit"))
+    limit = targets.agg(F.sum("target")).first()[0] or 0.0
     # the document across the end of the budget goes in if half of it lies before
-    taken = lined.crossJoin(F.broadcast(limit)).where("words - size / 2 <= limit")  # limit is one row
+    taken = lined.where(F.col("words") - F.col("size") / 2 <= limit)
     copies = taken.groupBy("h", "did").agg(F.count("*").alias("n"))
     alike = Window.partitionBy("h", "did")  # equal rows share what the mix takes of them
     rows = (keyed if carry else docs).join(copies, ["h", "did"], "left")
