@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import U64, buffers, hash_sample, is_held_out, mix, spans_hash, text_chunks
 
 #: Labelled rows to train on (about: a sample by hash); hashed features; passes.
-SAMPLE_ROWS, BITS, EPOCHS = 12_000, 18, 3
+SAMPLE_ROWS, BITS, EPOCHS = 8_000, 18, 3
 #: Follow the regularised leader: step, its smoothing, L1 and L2.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.002, 0.0001
 _REPEAT = np.uint64(0x2545F4914F6CDD1D)
@@ -84,7 +84,7 @@ def _train(batches):
     for batch in batches:
         y = batch.column(1).to_pylist()
         data, off = buffers(batch.column(0))
-        rows += [(int(h), at, value, label) for h, (at, value), label in zip(batch.column(2).to_pylist(), features(data[off[0] : off[-1]], off - off[0]), y)]
+        rows += [(int(h), at.astype(np.int32), value.astype(np.float32), label) for h, (at, value), label in zip(batch.column(2).to_pylist(), features(data[off[0] : off[-1]], off - off[0]), y)]
     rows.sort(key=lambda r: r[0])
     yield pa.RecordBatch.from_arrays([pa.array([fit([r[1:] for r in rows]).tobytes()], pa.binary())], names=["weights"])
 

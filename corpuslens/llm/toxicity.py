@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import math
 import unicodedata
+from array import array
 from collections import Counter
 
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import hash_sample, is_held_out, worker_cache
 
 #: Labelled rows that a lexicon is learned from, at most (about: a sample by hash).
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS = 8_000
 #: An entry's least number of toxic texts (and share of them), its least share of toxic texts among those that hold it.
 LEAST_TEXTS, LEAST_SHARE, LEAST_PRECISION = 5, 0.01, 0.95
 #: Lengths of the beginnings of words that may become entries.
@@ -65,12 +66,27 @@ def fold(text: str) -> str:
     return f" {text.translate(table)} "
 
 
+def _held(text: str | None) -> set[str]:
+    """The entries that a text could be counted under: its words, and their beginnings."""
+    words = set(fold(text or "").split())
+    return {f" {w} " for w in words if len(w) > 2} | {f" {w[:k]}" for w in words for k in STEMS if len(w) >= k}
+
+
 def _lexicon(rows: list[tuple[str | None, int]]) -> str:
+    least = max(LEAST_TEXTS, LEAST_SHARE * sum(1 for _, y in rows if y))
+    given = {f" {w} ": weight for w, weight in GIVEN.items()}
+    sketch = array("I", bytes(4 << 22))  # most entries are rare: counters shared by hash tell which need none of their own
+    for text, y in rows:
+        if y:
+            for e in _held(text):
+                sketch[hash(e) & 0x3FFFFF] += 1
     toxic, clean = Counter(), Counter()
     for text, y in rows:
-        words = set(fold(text or "").split())
-        (toxic if y else clean).update({f" {w} " for w in words if len(w) > 2} | {f" {w[:k]}" for w in words for k in STEMS if len(w) >= k})
-    least = max(LEAST_TEXTS, LEAST_SHARE * sum(1 for _, y in rows if y))
+        if y:
+            toxic.update(e for e in _held(text) if sketch[hash(e) & 0x3FFFFF] >= least or e in given)
+    for text, y in rows:
+        if not y:
+            clean.update(e for e in _held(text) if e in toxic or e in given)
     good = {e: (a, clean[e]) for e, a in toxic.items() if a >= least and a >= LEAST_PRECISION * (a + clean[e])}
     entries: dict[str, float] = {}
     for e in sorted(good, key=lambda e: (len(e), e)):  # shortest first: what a beginning covers adds nothing
@@ -78,8 +94,7 @@ def _lexicon(rows: list[tuple[str | None, int]]) -> str:
             continue
         a, b = good[e]
         entries[e] = min(1.0, math.log((a + 0.5) / (b + 0.5)) / 5)
-    for w, weight in GIVEN.items():
-        e = f" {w} "
+    for e, weight in given.items():
         if toxic[e] > clean[e] or not clean[e]:
             entries.setdefault(e, weight)
     found = _automaton(entries)
