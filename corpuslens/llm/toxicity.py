@@ -1,7 +1,7 @@
 """Toxicity by a weighted lexicon: Aho-Corasick over folded text, normalised by length, with exception phrases.
 
-Folding undoes disguises: compatibility forms, accents, look-alike letters of other scripts and digits for letters
-become plain lower-case letters, all else a space. The lexicon holds words and beginnings of words with weights. A
+Folding undoes disguises: compatibility forms, look-alike letters of other scripts, invisible characters and digits for
+letters become plain lower-case letters, all but letters a space. The lexicon holds words and beginnings of words with weights. A
 short list is given; the rest is learned from a bounded sample of labelled rows as what occurs in toxic texts nearly
 alone. Words inside an exception phrase do not count.
 """
@@ -50,12 +50,16 @@ def _folds() -> dict[int, str]:
 
 
 class _Folds(dict):
+    """Any other character: letters with marks stay letters of their own, as words of many languages differ by them."""
+
     def __missing__(self, code: int) -> str:
-        plain = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
-        out = "".join(self.get(ord(c), c.lower() if c.isalpha() else " ") for c in plain.casefold())
-        out = out if len(out) == 1 or out.isalpha() else out.replace(" ", "")
-        if unicodedata.combining(chr(code)) or unicodedata.category(chr(code)) == "Cf":
+        c = chr(code)
+        if unicodedata.combining(c) or unicodedata.category(c) == "Cf":
             out = ""  # marks and invisible characters within a word
+        else:
+            plain = unicodedata.normalize("NFKC", c).casefold()
+            out = "".join(self.get(ord(p), p) for p in plain)
+            out = out if out.isalpha() else " "
         self[code] = out
         return out
 
