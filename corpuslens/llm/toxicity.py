@@ -23,7 +23,7 @@ from .common import hash_sample, is_held_out, worker_cache
 #: Labelled rows that a lexicon is learned from, at most (about: a sample by hash).
 SAMPLE_ROWS = 8_000
 #: An entry's least number of toxic texts (and share of them), its least share of toxic texts among those that hold it.
-LEAST_TEXTS, LEAST_SHARE, LEAST_PRECISION = 5, 0.01, 0.95
+LEAST_TEXTS, LEAST_SHARE, LEAST_PRECISION = 5, 0.005, 0.9
 #: Lengths of the beginnings of words that may become entries.
 STEMS = range(4, 9)
 
