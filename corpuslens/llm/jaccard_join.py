@@ -21,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, documents, gram_hashes, materialise, mix, public_id, text_chunks, word_bounds, word_hashes
+from .common import U64, arrow_rows, documents, gram_hashes, materialise, mix, public_id, text_chunks, word_bounds, word_hashes
 from .components import connected_components
 
 #: Counters of the frequency table, and rows in which tasks hand theirs over.
 COUNTERS, SLICES = 1 << 19, 32
+#: Cells of a set's outline: how many of its elements fall in each.
+CELLS = 128
 #: Bits of the filter of wanted documents (2 MB at most); where it fills up more sets are sent than needed, never fewer.
 FILTER_BITS = 1 << 24
 
@@ -101,11 +103,36 @@ def _prefix_length(n: int, percent: int) -> int:
     return length if length > 1 or n * 100 // percent > n else 0
 
 
+def _outline(h: np.ndarray) -> bytes:
+    """Counts by cell (the high bits of an element), in as many bytes each as the largest needs."""
+    counts = np.bincount((h >> U64(57)).astype(np.int64), minlength=CELLS)
+    return counts.astype(np.uint8 if counts.max(initial=0) < 256 else np.uint32).tobytes()
+
+
+def _cells(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, dtype=np.uint8 if len(raw) == CELLS else np.uint32).astype(np.int64)
+
+
+def _alike_in_outline(percent: int):
+    """Two sets share no more than the lesser count of each cell: pairs that cannot be similar go, no other."""
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                x, y = _cells(x), _cells(y)
+                both = int(np.minimum(x, y).sum())
+                keep.append(100 * both >= percent * (int(x.sum() + y.sum()) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _described(shared, k: int, percent: int):
     def run(batches):
         common = shared.value
         for batch, data, off in text_chunks(batches):
-            n, s1, s2, p1, prefixes = [], [], [], [], []
+            n, s1, s2, p1, prefixes, outlines = [], [], [], [], [], []
             for h in _sets(data, off, k):
                 n.append(len(h))
                 with np.errstate(over="ignore"):
@@ -114,10 +141,11 @@ def _described(shared, k: int, percent: int):
                 prefix = h[np.argsort(common[_counter(h)], kind="stable")[: _prefix_length(len(h), percent)]]
                 p1.append(int(np.add.reduce(mix(prefix * U64(3))).astype(np.int64)) if len(prefix) else 0)
                 prefixes.append(prefix.view(np.int64))
+                outlines.append(_outline(h))
             off2 = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(off2), pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)))
             get = lambda c: batch.column(batch.schema.get_field_index(c))
-            yield pa.RecordBatch.from_arrays([get("did"), get("dk"), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(p1, pa.int64()), lists], names=["did", "dk", "n", "s1", "s2", "p1", "prefix"])
+            yield pa.RecordBatch.from_arrays([get("did"), get("dk"), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(p1, pa.int64()), lists, pa.array(outlines, pa.binary())], names=["did", "dk", "n", "s1", "s2", "p1", "prefix", "outline"])
 
     return run
 
@@ -186,9 +214,20 @@ def _similar(percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("elements").alias("y")), "b")
-    return materialise(both.select("a", "b", "x", "y").mapInArrow(_similar(percent), "a long, b long"))
+def _with(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
+    """pairs (a, b) with the value of both ends, as columns x and y."""
+    return pairs.join(table.select(F.col("id").alias("a"), F.col(value).alias("x")), "a").join(table.select(F.col("id").alias("b"), F.col(value).alias("y")), "b").select("a", "b", "x", "y")
+
+
+def _verified(spark, docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that are similar: by their outlines first, those left by their whole sets, which are made from
+    the texts of these documents only (a bitmap of ids drops the others before their words are taken)."""
+    pairs = materialise(_with(pairs, classes, "outline").mapInArrow(_alike_in_outline(percent), "a long, b long"))
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
+    bits = spark.sparkContext.broadcast(_filter(ids.select(_bit(F.col("id")).alias("bit"))))
+    with arrow_rows(spark, 1000):  # sets are wide
+        sets = materialise(docs.select("did", "text", _bit(F.col("did")).alias("bit")).mapInArrow(_whole_sets(bits, k), "id long, elements binary"))
+        return materialise(_with(pairs, sets, "elements").mapInArrow(_similar(percent), "a long, b long"))
 
 
 def _may_be_similar(n1: str, i1: str, n2: str, i2: str, percent: int) -> Column:
@@ -209,9 +248,9 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = df.sparkSession
     docs = documents(df, id_col, text_col)
     common = spark.sparkContext.broadcast(_frequencies(docs, k))
-    described = materialise(docs.mapInArrow(_described(common, k, percent), "did long, dk long, n long, s1 long, s2 long, p1 long, prefix array<long>"))
-    narrow = described.select("did", "n", "s1", "s2", "p1").where("n > 0")
-    classes = materialise(narrow.groupBy("n", "s1", "s2", "p1").agg(F.min("did").alias("id")))
+    described = materialise(docs.mapInArrow(_described(common, k, percent), "did long, dk long, n long, s1 long, s2 long, p1 long, prefix array<long>, outline binary"))
+    narrow = described.select("did", "n", "s1", "s2", "p1", "outline").where("n > 0")
+    classes = materialise(narrow.groupBy("n", "s1", "s2", "p1").agg(F.min("did").alias("id"), F.first("outline").alias("outline")))
     # groups of classes with an equal prefix and size, in which similarity to another class is possible at all
     groups = materialise(
         described.where("size(prefix) > 0").groupBy("n", "p1").agg(F.min("did").alias("g"), F.first("prefix").alias("prefix"))
@@ -229,13 +268,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     best = with_lead.groupBy("g").agg(F.min_by("lead", "i0").alias("lead"))
     rooted = best.join(members.select("g", F.col("id").alias("a")), "g").join(members.select(F.col("g").alias("lead"), F.col("id").alias("b")).where("b = lead"), "lead").select("a", "b")
     within = members.where("id <> g").select(F.col("id").alias("a"), F.col("g").alias("b"))
-    first = materialise(rooted.union(within).distinct())
-
-    wanted = entries.select("g").distinct().join(members, "g").select("id").union(within.select(F.col("a").alias("id")))
-    bits = spark.sparkContext.broadcast(_filter(wanted.select(_bit(F.col("id")).alias("bit"))))
-    sets = docs.select("did", "text", _bit(F.col("did")).alias("bit")).mapInArrow(_whole_sets(bits, k), "id long, elements binary")
-    sets = materialise(sets)
-    links = _verified(first, sets, percent)
+    first = rooted.union(within).distinct()
+    links = _verified(spark, docs, first, classes, k, percent)
     found = connected_components(links)
 
     placed = members.join(found, "id", "left").select("g", "id", F.coalesce("component", "id").alias("component"))
@@ -248,9 +282,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     right = spread.select("element", F.col("id").alias("b"), F.col("n").alias("n2"), F.col("i").alias("i2"), F.col("component").alias("c2"))
     again = left.join(right, "element").where((F.col("a") < F.col("b")) & (F.col("c1") != F.col("c2"))).where(_may_be_similar("n1", "i1", "n2", "i2", percent)).select("a", "b")
     inner = placed.select("g", F.col("id").alias("a"), F.col("component").alias("c1")).join(placed.select("g", F.col("id").alias("b"), F.col("component").alias("c2")), "g").where("a < b AND c1 <> c2").select("a", "b")
-    rest = materialise(again.union(inner).distinct())
-    if not rest.isEmpty():
-        more = _verified(rest, sets, percent)
+    more = _verified(spark, docs, again.union(inner).distinct(), classes, k, percent)
+    if not more.isEmpty():
         found = materialise(connected_components(links.union(more)))
     named = classes.join(found, "id", "left").select("n", "s1", "s2", F.coalesce("component", "id").alias("component"))
     keys = described.select("did", "n", "s1", "s2")
