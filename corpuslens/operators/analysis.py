@@ -9,9 +9,10 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from typing import Protocol
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -125,9 +126,7 @@ def translate_where(df: DataFrame, text_col: str, lang_col: str, languages: Iter
     """df with the texts of some languages translated, all others as they were."""
 
     @F.pandas_udf("string")
-    def translated(parts: Iterable["pd.Series"]) -> Iterable["pd.Series"]:  # noqa: F821
-        import pandas as pd
-
+    def translated(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = factory()
         for s in parts:
             texts = s.fillna("").tolist()
@@ -169,7 +168,7 @@ def model_sentiment(df: DataFrame, id_col: str, text_col: str, factory: Callable
                             out.append(("neutro", 0.0))
             yield pa.RecordBatch.from_arrays([ids, pa.array([o[0] for o in out], pa.string()), pa.array([float(o[1]) for o in out])], names=["id", "label", "confidence"])
 
-    found = df.select(F.col(id_col).cast("long"), sanitize(F.col(text_col))).mapInArrow(run, "id long, label string, confidence double")
+    found = df.select(F.col(id_col).cast("long"), sanitize(F.col(text_col)).alias("text")).mapInArrow(run, "id long, label string, confidence double")
     return found.withColumn("label", normalize_label(F.col("label")))
 
 
