@@ -6,7 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Labels of models and what they mean here: fixed values. Any other label is neutral.
-MODEL_LABELS = {"pos": "positivo", "neg": "negativo", "neu": "neutro", "positive": "positivo", "negative": "negativo", "neutral": "neutro", "label_0": "negativo", "label_1": "neutro", "label_2": "positivo"}
+MODEL_LABELS = {
+    "pos": "positivo", "positive": "positivo", "positivo": "positivo", "label_2": "positivo",
+    "neg": "negativo", "negative": "negativo", "negativo": "negativo", "label_0": "negativo",
+    "neu": "neutro", "neutral": "neutro", "neutro": "neutro", "label_1": "neutro",
+}
 POSITIVE, NEGATIVE, NEUTRAL, UNLABELLED = "positivo", "negativo", "neutro", "sin_etiqueta"
 
 

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇÝ"
 PLAIN = "aaaaaaeeeeiiiiooooouuuuncyyAAAAAAEEEEIIIIOOOOOUUUUNCY"
 
-#: Frequent function words by language, for the vote: fixed lists.
+#: Function words by language, for the vote: fixed values, on which results depend.
 STOPWORDS = {
-    "en": ["the", "and", "of", "to", "in", "is", "it", "that", "was", "for", "with", "this", "are", "on", "but"],
-    "es": ["el", "la", "los", "las", "de", "que", "y", "en", "un", "una", "es", "por", "con", "para", "muy"],
-    "fr": ["le", "la", "les", "de", "des", "et", "est", "un", "une", "que", "pour", "dans", "avec", "sur", "très"],
+    "es": ["el", "la", "los", "las", "y", "es", "en", "a", "de", "fue", "por", "con", "pero", "son", "muy", "porque", "para", "como", "estaba", "tiene"],
+    "en": ["the", "and", "is", "in", "it", "to", "of", "was", "for", "on", "this", "that", "with", "but", "are", "very"],
+    "fr": ["le", "la", "les", "et", "est", "dans", "il", "pour", "sur", "ce", "cette", "avec", "mais", "sont", "très", "être", "avoir"],
 }
 
 

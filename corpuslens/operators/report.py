@@ -13,6 +13,13 @@ from .cooccurrence import communities, node_degrees
 from .crosstabs import place_profile, polarity_heatmap, sentiment_by_place, stratified_sample
 
 
+#: Entities that taggers find though they are none: fixed values, left out of the graph.
+FALSE_ENTITIES = (
+    "fuimos", "ademas", "llegamos", "encima", "falto", "buena", "tome", "bikiniselfie bikiniseksi bikinisummer summerbodyready",
+    "lapazmx bikinishot", "visitacancun agencia gestion", "beachlife", "visithuatulco", "huatulcooaxaca huatulco", "bcs",
+)
+
+
 def topic_map(points: DataFrame, keywords: DataFrame, id_col: str, total: int = 4000, clusters: int = 10) -> tuple[DataFrame, DataFrame]:
     """(points, labels): an equal sample of each cluster, and a cluster's name at the middle of its points."""
     sample = stratified_sample(points, "cluster", id_col, max(1, total // max(1, clusters)))
@@ -24,6 +31,7 @@ def cooccurrence_graph(edges: DataFrame, exclude: DataFrame | None = None, above
     """(nodes, edges, communities): edges with more than `above` texts, without excluded nodes; sizes of nodes from 12
     to 45 by frequency."""
     shown = edges.where(F.col("n") > above)
+    shown = shown.where(~F.col("a").isin(*FALSE_ENTITIES) & ~F.col("b").isin(*FALSE_ENTITIES))
     if exclude is not None:
         for end in ("a", "b"):
             shown = shown.join(exclude.select(F.col("entity").alias(end)), end, "left_anti")
