@@ -22,6 +22,7 @@ SEPARATORS = np.zeros(256, dtype=bool)
 SEPARATORS[[0x20, *range(0x09, 0x0E)]] = True
 U64 = np.uint64
 NULL_ID = (1 << 63) - 1
+_SCRATCH: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -29,7 +30,17 @@ def scratch_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         base = f"file://{tempfile.gettempdir()}/corpuslens-scratch"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Delete the tables that this process has written so far: when no result that reads them is needed any more."""
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    while _SCRATCH:
+        path = hadoop(_SCRATCH.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def materialise(df: DataFrame) -> DataFrame:
