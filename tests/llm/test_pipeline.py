@@ -1,28 +1,45 @@
-"""The pipeline and the queries on a small folder of tables."""
+"""The pipeline, stage by stage, against brute force on a small folder of tables; and the registered queries."""
+
+import hashlib
 
-import corpus_pipeline
 import __spark_entry__
+import corpus_pipeline
 from corpuslens.llm import queries
 
+from .test_text_operators import brute_components, brute_substrings, words
+
 
-def test_stages_keep_columns_and_take_effect(spark, docs, tmp_path):
+def test_stages_against_brute_force(spark, docs, tmp_path):
     folder = str(tmp_path)
     docs.select(*corpus_pipeline.COLUMNS).where("doc_id IS NOT NULL").write.parquet(f"{folder}/documents.parquet")
-    spark.createDataFrame([(i, int(i % 7 == 0)) for i in range(40)], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+    toxic = {i: int(i % 7 == 0) for i in range(40)}
+    spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
     at = spark.read.parquet(f"{folder}/documents.parquet")
-    n = at.count()
-    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
-        at = stage(spark, at, folder)
-        at.write.parquet(f"{folder}/{i}")
-        at = spark.read.parquet(f"{folder}/{i}")
-        if i < len(corpus_pipeline.STAGES) - 1:
-            assert at.columns == corpus_pipeline.COLUMNS
-        if name == "near_duplicates":
-            assert at.count() < n
-        if name == "substring_dedup":
-            assert at.where("text LIKE '%zz%' AND doc_id > 81").count() == 0
-    assert {"doc_id", "n_tokens", "tokens", "text_sha256"} == set(at.columns)
-    assert at.count() > 0
+    before = [(r.doc_id, r.text) for r in at.collect()]
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "substring_dedup", "mixing", "byte_bpe"]
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, at, folder).write.parquet(f"{folder}/{name}")
+        at = spark.read.parquet(f"{folder}/{name}")
+        rows = at.collect()
+        if name == "byte_bpe":
+            got = sorted((r.doc_id, r.text_sha256, r.n_tokens * 4 == len(r.tokens)) for r in rows)
+            assert got == sorted((d, hashlib.sha256((t or "").encode()).hexdigest(), True) for d, t in before)
+            continue
+        assert at.columns == corpus_pipeline.COLUMNS
+        after = [(r.doc_id, r.text) for r in rows]
+        if name == "toxicity":
+            assert set(after) <= set(before) and len(after) > len(before) / 2
+        elif name == "near_duplicates":
+            keep = {d for d, _, c in brute_components(before, 5, 80) if d == c}
+            assert sorted(d for d, _ in after) == sorted(d for d, _ in before if d in keep)
+        elif name == "substring_dedup":
+            whole = dict(before)
+            want = {d: (whole[d] if gone == 0 else text) for d, n, gone, text in brute_substrings(before, 20) if gone == 0 or gone < n}
+            assert dict(after) == want
+        elif name == "mixing":
+            assert set(after) == {r for r in before if words(r[1]) and r in after} and max(after.count(r) for r in after) <= 2
+        before = after
+    assert before
 
 
 def test_all_queries_are_registered():
