@@ -26,6 +26,8 @@ from .components import connected_components
 
 #: Counters of the frequency table, and rows in which tasks hand theirs over.
 COUNTERS, SLICES = 1 << 19, 32
+#: Texts, and sets, in an Arrow batch.
+TEXT_ROWS, SET_ROWS = 2000, 500
 #: Cells of a set's outline: how many of its elements fall in each.
 CELLS = 128
 #: Bits of the filter of wanted documents (2 MB at most); where it fills up more sets are sent than needed, never fewer.
@@ -225,7 +227,7 @@ def _verified(spark, docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: i
     pairs = materialise(_with(pairs, classes, "outline").mapInArrow(_alike_in_outline(percent), "a long, b long"))
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
     bits = spark.sparkContext.broadcast(_filter(ids.select(_bit(F.col("id")).alias("bit"))))
-    with arrow_rows(spark, 1000):  # sets are wide
+    with arrow_rows(spark, SET_ROWS):
         sets = materialise(docs.select("did", "text", _bit(F.col("did")).alias("bit")).mapInArrow(_whole_sets(bits, k), "id long, elements binary"))
         return materialise(_with(pairs, sets, "elements").mapInArrow(_similar(percent), "a long, b long"))
 
@@ -247,8 +249,9 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     of them does; other columns are not looked at. Shingles are hashes of 64 bits."""
     spark = df.sparkSession
     docs = documents(df, id_col, text_col)
-    common = spark.sparkContext.broadcast(_frequencies(docs, k))
-    described = materialise(docs.mapInArrow(_described(common, k, percent), "did long, dk long, n long, s1 long, s2 long, p1 long, prefix array<long>, outline binary"))
+    with arrow_rows(spark, TEXT_ROWS):
+        common = spark.sparkContext.broadcast(_frequencies(docs, k))
+        described = materialise(docs.mapInArrow(_described(common, k, percent), "did long, dk long, n long, s1 long, s2 long, p1 long, prefix array<long>, outline binary"))
     narrow = described.select("did", "n", "s1", "s2", "p1", "outline").where("n > 0")
     classes = materialise(narrow.groupBy("n", "s1", "s2", "p1").agg(F.min("did").alias("id"), F.first("outline").alias("outline")))
     # groups of classes with an equal prefix and size, in which similarity to another class is possible at all
