@@ -32,7 +32,7 @@ def vocabulary() -> tuple[str, str]:
     return (os.path.join(folder, name) if folder else public_tokenizers.path(name)), public_tokenizers.PATTERN
 
 
-def _training(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def training_rows(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Rows that may be learned from: crc32 of the id modulo 5 is not 0."""
     return _table(spark, sf_dir, name).where("crc32(cast(string(doc_id) AS binary)) % 5 <> 0")
 
@@ -49,7 +49,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
-    scores = quality_scores(documents, train_quality(documents, _training(spark, sf_dir, "labels")))
+    scores = quality_scores(documents, train_quality(documents, training_rows(spark, sf_dir, "labels")))
     return scores.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
@@ -82,12 +82,12 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identify_language(_table(spark, sf_dir, "documents"), train_languages(_training(spark, sf_dir, "documents")))
+    return identify_language(_table(spark, sf_dir, "documents"), train_languages(training_rows(spark, sf_dir, "documents")))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
-    scores = toxicity_scores(documents, learn_lexicon(documents, _training(spark, sf_dir, "labels")))
+    scores = toxicity_scores(documents, learn_lexicon(documents, training_rows(spark, sf_dir, "labels")))
     return scores.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
