@@ -9,7 +9,7 @@ from corpuslens.llm.byte_bpe import decode, encode
 from corpuslens.llm.common import materialise
 from corpuslens.llm.jaccard_join import jaccard_keep_one
 from corpuslens.llm.mixing import mix_sources
-from corpuslens.llm.queries import vocabulary
+from corpuslens.llm.queries import training_rows, vocabulary
 from corpuslens.llm.substring_dedup import substring_dedup
 from corpuslens.llm.toxicity import learn_lexicon, toxicity_filter
 
@@ -18,7 +18,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the lexicon rejects go."""
-    model = learn_lexicon(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    model = learn_lexicon(docs, training_rows(spark, sf_dir, "labels"))
     return toxicity_filter(docs.select(*COLUMNS), model)
 
 
