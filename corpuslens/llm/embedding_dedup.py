@@ -45,22 +45,24 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _describe(shared):
+def _describe(shared, single: bool):
+    """single: the vectors came in single precision, so that is what they are sent in; nothing is lost."""
+
     def run(batches):
         pivots = shared.value
         near = min(NEAR, len(pivots))
         for b in batches:
             if not b.num_rows:
                 continue
-            u = _unit(matrix(b.column(2)))
-            for a in range(0, len(u), 1024):
-                part = u[a : a + 1024]
-                close = part @ pivots.T
+            x = matrix(b.column(2))
+            for a in range(0, len(x), 1024):
+                part = x[a : a + 1024]
+                close = _unit(part) @ pivots.T
                 at = np.sort(np.argpartition(-close, near - 1, axis=1)[:, :near], axis=1).astype(np.int64)
                 pairs = list(combinations(range(near), 2)) if near > 1 else [(0, 0)]
                 key = np.stack([at[:, i] * (1 << 16) + at[:, j] for i, j in pairs], axis=1).reshape(-1)
                 of = np.repeat(np.arange(len(part)), len(pairs))
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(b.column(0).to_numpy()[a : a + 1024][of]), pa.array(b.column(1).to_numpy()[a : a + 1024][of]), lists(at[of]), lists(part[of])], names=["key", "cid", "n", "near", "u"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(b.column(0).to_numpy()[a : a + 1024][of]), pa.array(b.column(1).to_numpy()[a : a + 1024][of]), lists(at[of].astype(np.int16)), lists(part[of].astype(np.float32 if single else np.float64))], names=["key", "cid", "n", "near", "vec"])
 
     return run
 
@@ -139,7 +141,7 @@ def _compare(least: float):
             if not b.num_rows:
                 continue
             cols = {n: b.column(b.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in ("key", "b1", "b2", "side", "cid", "n")}
-            near, u = matrix(b.column(b.schema.get_field_index("near"))).astype(np.int64), matrix(b.column(b.schema.get_field_index("u")))
+            near, u = matrix(b.column(b.schema.get_field_index("near"))).astype(np.int64), _unit(matrix(b.column(b.schema.get_field_index("vec"))))
             head = np.stack([cols[c].astype(np.int64) for c in ("key", "b1", "b2", "side")], axis=1)
             cut = np.concatenate([[0], np.flatnonzero((head[1:] != head[:-1]).any(axis=1)) + 1, [len(head)]])
             for a, z in zip(cut[:-1].tolist(), cut[1:].tolist()):
@@ -170,11 +172,12 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: st
     sample = hash_sample(classes, "h1", 4 * most, total).select("h1", "vec").orderBy("h1").limit(8 * most).toPandas()  # bounded
     pivots = choose_pivots(_unit(np.stack(sample["vec"].to_numpy()).astype(float)) if len(sample) else np.zeros((0, 0)), most)
     members = vectors.select("id", "h1", "h2")
+    single = df.schema[vector_col].dataType.jsonValue().get("elementType") == "float"
     if len(pivots):
-        described = materialise(classes.select("cid", "n", "vec").mapInArrow(_describe(spark.sparkContext.broadcast(pivots)), "key long, cid long, n long, near array<long>, u array<double>"))
+        described = materialise(classes.select("cid", "n", "vec").mapInArrow(_describe(spark.sparkContext.broadcast(pivots), single), f"key long, cid long, n long, near array<short>, vec array<{'float' if single else 'double'}>"))
         crowded = described.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
         placed = described.join(crowded, "key").withColumn("b", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        placed = placed.select("key", F.least("b", "o").alias("b1"), F.greatest("b", "o").alias("b2"), (F.col("b") > F.col("o")).cast("int").alias("side"), "cid", "n", "near", "u")
+        placed = placed.select("key", F.least("b", "o").alias("b1"), F.greatest("b", "o").alias("b2"), (F.col("b") > F.col("o")).cast("int").alias("side"), "cid", "n", "near", "vec")
         keys = ["key", "b1", "b2"]
         found = materialise(placed.repartition(*keys).sortWithinPartitions(*keys, "side").mapInArrow(_compare(least), "cid long, root long, links long"))
         links = found.groupBy("cid").agg(F.sum("links").alias("links"))
