@@ -20,7 +20,7 @@ from .common import buffers, text_chunks, worker_cache
 
 #: Bytes of text whose new pieces are merged together, and how many pieces a task remembers.
 BLOCK_BYTES = 6 << 20
-REMEMBER = 1 << 19
+REMEMBER = 1 << 18
 #: Bytes of ids that are decoded together.
 DECODE_BYTES = 1 << 20
 _NONE = np.int64(1 << 40)
@@ -31,15 +31,30 @@ def read_ranks(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines()) if a}
 
 
+class Tokens:
+    """The bytes of every id, end to end."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        tokens = [b""] * (max(ranks.values()) + 1)
+        for token, i in ranks.items():
+            tokens[i] = token
+        self.flat = np.frombuffer(b"".join(tokens), dtype=np.uint8)
+        self.sizes = np.array([len(t) for t in tokens])
+        self.ends = np.cumsum(self.sizes)
+
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all ids, end to end, and the number of bytes before each id (one more for the end)."""
+        size = self.sizes[ids]
+        off = np.concatenate([[0], np.cumsum(size)])
+        at = np.arange(off[-1]) + np.repeat(self.ends[ids] - size - off[:-1], size)
+        return self.flat[at], off
+
+
 class Merges:
     """The rank table as arrays: which pair of tokens makes which."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        size = max(ranks.values()) + 1
-        self.tokens: list[bytes] = [b""] * size
-        for token, i in ranks.items():
-            self.tokens[i] = token
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         pairs = {}
         for token, i in ranks.items():
@@ -49,9 +64,6 @@ class Merges:
                     pairs[a << 20 | b] = i
         self.keys = np.array(sorted(pairs), dtype=np.int64)
         self.made = np.array([pairs[k] for k in self.keys.tolist()], dtype=np.int64)
-        self.flat = np.frombuffer(b"".join(self.tokens), dtype=np.uint8)
-        self.ends = np.cumsum([len(t) for t in self.tokens])
-        self.sizes = np.array([len(t) for t in self.tokens])
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The token that each pair makes; _NONE if none."""
@@ -144,19 +156,13 @@ class Merges:
             count = np.concatenate([[0], np.cumsum([len(c) for c in cut])])
         return ids.astype(np.uint32), count
 
-    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The bytes of all ids, end to end, and the number of bytes before each id (one more for the end)."""
-        size = self.sizes[ids]
-        off = np.concatenate([[0], np.cumsum(size)])
-        at = np.arange(off[-1]) + np.repeat(self.ends[ids] - size - off[:-1], size)
-        return self.flat[at], off
-
 
-def _merges(shared) -> Merges:
+def _kept(kind: type, shared):
+    """A table of the rank file, made once in a Python worker."""
     cache = worker_cache()
-    key = ("merges", shared.value[:64], len(shared.value))
+    key = (kind.__name__, shared.value[:64], len(shared.value))
     if key not in cache:
-        cache[key] = Merges(read_ranks(shared.value))
+        cache[key] = kind(read_ranks(shared.value))
     return cache[key]
 
 
@@ -178,11 +184,11 @@ def _encode(shared, pattern: str):
     def run(batches):
         import regex
 
-        merges, split = _merges(shared), regex.compile(pattern).findall
-        remembered, key = worker_cache().setdefault("pieces", {}), (shared.value[:64], len(shared.value))
+        merges, split = _kept(Merges, shared), regex.compile(pattern).findall
+        slots, flat, first = _Slots(), np.zeros(0, np.uint32), np.zeros(1, np.int64)  # of this task
 
         def block(ids, texts):
-            slots, flat, first = remembered.pop(key, None) or (_Slots(), np.zeros(0, np.uint32), np.zeros(1, np.int64))
+            nonlocal slots, flat, first
             known = len(first) - 1
             held = [np.fromiter(map(slots.__getitem__, split(t)), dtype=np.int64) if t else np.zeros(0, np.int64) for t in texts]
             if len(slots) > known:
@@ -196,7 +202,8 @@ def _encode(shared, pattern: str):
             total = np.concatenate([[0], np.cumsum(size)])
             row = total[np.concatenate([[0], np.cumsum([len(h) for h in held])])]
             raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer((row * 4).astype(np.int64)), pa.py_buffer(out.astype("<u4"))])
-            remembered[key] = (slots, flat, first) if len(slots) <= REMEMBER else None
+            if len(slots) > REMEMBER:
+                slots, flat, first = _Slots(), np.zeros(0, np.uint32), np.zeros(1, np.int64)
             return pa.RecordBatch.from_arrays([ids, raw.cast(pa.binary())], names=["doc_id", "tokens"])
 
         for batch in batches:
@@ -212,9 +219,9 @@ def _encode(shared, pattern: str):
 
 def _decode(shared):
     def run(batches):
-        merges = _merges(shared)
+        table = _kept(Tokens, shared)
         for rows, data, off in text_chunks(batches, "tokens", DECODE_BYTES):
-            out, cut = merges.decode(np.frombuffer(data.tobytes(), dtype="<u4"))
+            out, cut = table.decode(np.frombuffer(data.tobytes(), dtype="<u4"))
             raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), rows.num_rows, [None, pa.py_buffer(cut[off // 4].astype(np.int64)), pa.py_buffer(out)])
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), raw.cast(pa.binary())], names=["doc_id", "tokens", "bytes"])
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at once (a longer text is handled alone).
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: The separators of words: space, and 0x09 to 0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 SEPARATORS = np.zeros(256, dtype=bool)
@@ -165,11 +165,11 @@ def _powers(base: int, n: int) -> np.ndarray:
     cache = worker_cache().setdefault("powers", {})
     have = cache.get(base)
     if have is None or len(have) < n:
-        size = max(n, 1 << 21)
+        size = max(n, CHUNK_BYTES + 2)
         have = np.full(size, base, dtype=U64)
         have[0] = 1
         np.cumprod(have, out=have)
-        if n <= CHUNK_BYTES + 1:
+        if n <= CHUNK_BYTES + 2:
             cache[base] = have
     return have[:n]
 
