@@ -1,8 +1,7 @@
 """Outliers among vectors: isolation forest, one-class machine, local outlier factor, and a vote of the three.
 
-The models are fitted on bounded samples (sizes are parameters) and score all rows in their own tasks; the cut is a
-quantile of all scores. The local outlier factor of large tables is taken against a sample too (`reference`), with all
-rows as the reference where there are fewer."""
+The forest and the machine are fitted on bounded samples (sizes are parameters) and score all rows in their own tasks;
+the cut is a quantile of all scores. The local outlier factor takes its neighbours from all rows."""
 
 from __future__ import annotations
 
@@ -13,7 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import keep
 from .clustering import hash_sample
+from .neighbours import Rows, nearest
 from .ngrams import ngram_counts, top_terms
 
 
@@ -102,37 +103,18 @@ def one_class_svm(df: DataFrame, id_col: str, vector_col: str, nu: float = 0.05,
     return _flagged(_scored(df, id_col, vector_col, lambda _, v: rho - phi(v) @ w), nu)
 
 
-def local_outlier_factor(df: DataFrame, id_col: str, vector_col: str, k: int = 20, contamination: float = 0.05, reference: int = 20_000) -> DataFrame:
+def local_outlier_factor(df: DataFrame, id_col: str, vector_col: str, k: int = 20, contamination: float = 0.05) -> DataFrame:
     """(id, score, outlier): the mean density of a vector's k nearest neighbours over its own. Neighbours are sought
-    among the reference rows, which are sent to all tasks; a row is never its own neighbour."""
-    ids, x = _sample(df, id_col, vector_col, reference)
-    k = min(k, max(1, len(x) - 1))
-    norms = (x * x).sum(axis=1)
-
-    def neighbours(own: np.ndarray, v: np.ndarray):
-        for a in range(0, len(v), 512):
-            d = np.sqrt(np.maximum((v[a : a + 512] ** 2).sum(axis=1)[:, None] + norms - 2 * v[a : a + 512] @ x.T, 0))
-            d[own[a : a + 512, None] == ids[None, :]] = np.inf
-            at = np.argsort(d, axis=1, kind="stable")[:, :k]
-            yield np.take_along_axis(d, at, axis=1), at
-
-    radius = density = np.zeros(0)
-    if len(x) > 1:
-        near = list(neighbours(ids, x))
-        dist, at = np.concatenate([n[0] for n in near]), np.concatenate([n[1] for n in near])
-        radius = dist[:, -1]
-        density = 1.0 / (np.maximum(dist, radius[at]).mean(axis=1) + 1e-10)
-
-    def score(own, v):
-        if not len(density):
-            return np.ones(len(v))
-        out = []
-        for dist, at in neighbours(own, v):
-            mine = 1.0 / (np.maximum(dist, radius[at]).mean(axis=1) + 1e-10)
-            out.append(density[at].mean(axis=1) / mine)
-        return np.concatenate(out)
-
-    return _flagged(_scored(df, id_col, vector_col, score), contamination)
+    among all rows; a row is never its own neighbour."""
+    rows = Rows(df, id_col, vector_col)
+    found = nearest(rows, k)
+    radius = found.select(F.col("r").alias("near"), F.element_at("dist", -1).alias("radius"))
+    links = found.select("r", F.explode(F.arrays_zip("dist", "near")).alias("l")).select("r", "l.dist", "l.near")
+    density = keep(links.join(radius, "near").groupBy("r").agg((1.0 / (F.avg(F.greatest("dist", "radius")) + 1e-10)).alias("density")))
+    around = links.join(density.select(F.col("r").alias("near"), F.col("density").alias("d")), "near").groupBy("r").agg(F.avg("d").alias("around"))
+    scores = density.join(around, "r").select("r", (F.col("around") / F.col("density")).alias("score"))
+    scores = rows.table.select(F.col("id").cast("long").alias("id"), "r").join(scores, "r", "left").select("id", F.coalesce("score", F.lit(1.0)).alias("score"))
+    return _flagged(scores, contamination)
 
 
 def outlier_votes(df: DataFrame, id_col: str, vector_col: str, contamination: float = 0.05, k: int = 20, least_votes: int = 2) -> DataFrame:

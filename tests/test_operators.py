@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,6 +141,22 @@ def test_lof_is_the_definition(blobs):
     assert [got[i] for i in range(len(x))] == pytest.approx(want.tolist(), rel=1e-6)
 
 
+def test_lof_of_many_rows_takes_all_as_neighbours(spark):
+    rng = np.random.default_rng(5)  # groups of near copies larger than k: thinned to a third by a sample of 20,000
+    x = np.concatenate([rng.normal(0, 1, (20_900, 4)), *[c + rng.normal(0, 1e-4, (24, 4)) for c in rng.normal(0, 1, (50, 4))]])
+    df = spark.createDataFrame(pa.table({"id": range(len(x)), "v": x.tolist()}))
+    got = {r.id: r.score for r in outliers.local_outlier_factor(df, "id", "v", 20).where("id >= 20900").collect()}
+    for g in range(50):  # a copy's neighbours are copies: the group alone gives its scores
+        own = x[20_900 + 24 * g : 20_924 + 24 * g]
+        d = np.sqrt(((own[:, None] - own[None]) ** 2).sum(-1))
+        np.fill_diagonal(d, np.inf)
+        at = np.argsort(d, axis=1)[:, :20]
+        near = np.take_along_axis(d, at, axis=1)
+        density = 1 / (np.maximum(near, near[:, -1][at]).mean(axis=1) + 1e-10)
+        want = density[at].mean(axis=1) / density
+        assert [got[20_900 + 24 * g + i] for i in range(24)] == pytest.approx(want.tolist(), rel=1e-5)
+
+
 def test_outlier_votes(blobs):
     _, df = blobs
     rows = {r.id: r for r in outliers.outlier_votes(df, "id", "v").collect()}
