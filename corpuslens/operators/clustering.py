@@ -1,12 +1,16 @@
-"""Clusterings: k-means over all rows by Spark; hierarchical and density clustering, which need all distances, on a
-bounded sample, from which labels go to all rows by the nearest centre. The sample sizes are parameters."""
+"""Clusterings: k-means over all rows by Spark; density clustering over all rows by their exact neighbours; hierarchical
+clustering on a bounded sample, from which labels go to all rows by the nearest centre. The sample sizes are parameters."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .neighbours import NEAR, Rows, lists_of, spanning_tree
+
 
 def hash_sample(df: DataFrame, id_col: str, rows: int) -> DataFrame:
     """The rows with the least hashes of their ids: a bounded sample, the same on every run."""
@@ -192,6 +196,13 @@ def hdbscan(x: np.ndarray, min_size: int, min_samples: int) -> np.ndarray:
         far[closer], src[closer] = reach[at][closer], at
         at = int(np.where(inside, np.inf, far).argmin())
         edges.append((far[at], int(src[at]), at))
+    return condensed(edges, n, min_size)
+
+
+def condensed(edges: list[tuple[float, int, int]], n: int, min_size: int) -> np.ndarray:
+    """The labels of n points by the edges (weight, a, b) of their spanning tree."""
+    if n < max(3, min_size):
+        return np.full(n, -1)
     parent, node, kids, height, size = list(range(n)), list(range(n)), {}, {}, {i: 1 for i in range(n)}
 
     def root(i: int) -> int:
@@ -263,29 +274,63 @@ def hdbscan(x: np.ndarray, min_size: int, min_samples: int) -> np.ndarray:
     return labels
 
 
+def hdbscan_rows(df: DataFrame, id_col: str, vector_col: str, min_size: int, min_samples: int) -> DataFrame:
+    """(id, label) of every row by hdbscan over all rows: distances are taken in blocks by the executors, the spanning
+    tree is condensed on the driver."""
+    rows = Rows(df, id_col, vector_col)
+    return _labelled(rows, id_col, condensed(_density_edges(rows, (min_samples,))[min_samples], rows.n, min_size))
+
+
+def _density_edges(rows: Rows, samples: tuple[int, ...]) -> dict[int, list[tuple[float, int, int]]]:
+    """The edges of the spanning tree of mutual reachability for each min_samples."""
+    if rows.n < 2:
+        return {least: [] for least in samples}
+    dist, near = lists_of(rows, max(NEAR, *samples))
+    return {least: list(zip(*(e.tolist() for e in spanning_tree(rows, dist, near, least)))) for least in samples}
+
+
+def _labelled(rows: Rows, id_col: str, labels: np.ndarray) -> DataFrame:
+    shared = rows.table.sparkSession.sparkContext.broadcast(labels.astype(np.int32))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value[b.column(1).to_numpy()])], names=[id_col, "label"])
+
+    return rows.table.select(F.col("id").cast("long"), "r").mapInArrow(run, f"{id_col} long, label int")
+
+
 def hdbscan_score(x: np.ndarray, labels: np.ndarray, max_share: float = 0.8) -> float | None:
     """silhouette * share without noise, 0 if one cluster has more than max_share; None where it says nothing."""
+    return _judged(labels, lambda: silhouette(x, labels), max_share)
+
+
+def _judged(labels: np.ndarray, measure: Callable[[], float], max_share: float = 0.8) -> float | None:
     valid = labels >= 0
     sizes = np.bincount(labels[valid]) if valid.any() else np.zeros(0)
     if (sizes > 0).sum() < 2 or valid.sum() < 4 or sizes.max() <= max(3, 0.05 * len(labels)):
         return None
-    return 0.0 if sizes.max() > max_share * valid.sum() else silhouette(x, labels) * float(valid.mean())
+    return 0.0 if sizes.max() > max_share * valid.sum() else measure() * float(valid.mean())
 
 
-def hdbscan_grid(df: DataFrame, id_col: str, vector_col: str, sizes: tuple[int, ...] = (5, 10, 15, 20, 30), samples: tuple[int, ...] = (3, 5, 10), sample: int = 2000) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """(ranking, {params: (id, label)} of the best one)."""
-    _, x = _points(df, id_col, vector_col, sample)
+def hdbscan_grid(df: DataFrame, id_col: str, vector_col: str, sizes: tuple[int, ...] = (5, 10, 15, 20, 30), samples: tuple[int, ...] = (3, 5, 10), sample: int = 5000) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """(ranking, {params: (id, label)} of the best one). The fits run over all rows; silhouettes on a sample."""
+    rows = Rows(df, id_col, vector_col)
+    few = hash_sample(rows.table.select("id", "r", F.col("v").cast("array<double>").alias("v")), "id", sample).toPandas()
+    x, at = np.stack(few["v"].to_numpy()) if len(few) else np.zeros((0, 0)), few["r"].to_numpy()
     table, best = [], None
+    trees = _density_edges(rows, samples)
     for size in sizes:
         for least in samples:
-            labels = hdbscan(x, size, least)
-            score = hdbscan_score(x, labels)
+            labels = condensed(trees[least], rows.n, size)
+            score = _judged(labels, lambda labels=labels: silhouette(x, labels[at]))
             if score:
                 params = f"min_size={size},min_samples={least}"
-                table.append(("hdbscan", params, score, silhouette(x, labels), int(labels.max() + 1), int((labels < 0).sum()), None, None))
+                table.append(("hdbscan", params, score, silhouette(x, labels[at]), int(labels.max() + 1), int((labels < 0).sum()), None, None))
                 if best is None or score > best[0]:
                     best = (score, params, labels)
-    out = {best[1]: assign_nearest(df, id_col, vector_col, x, best[2])} if best else {}
+    out = {best[1]: _labelled(rows, id_col, best[2])} if best else {}
     return df.sparkSession.createDataFrame(table, "model string, params string, score double, silhouette double, n_clusters int, n_noise int, inertia double, elbow_k int"), out
 
 

@@ -480,11 +480,9 @@ def agglomerative_labels(spark, d):
 
 @query()
 def hdbscan_labels(spark, d):
-    from ..operators.clustering import _points, assign_nearest, hdbscan
+    from ..operators.clustering import hdbscan_rows
 
-    e = _table(spark, d, "embeddings")
-    _, x = _points(e, "vec_id", "embedding", 1000)
-    return assign_nearest(e, "vec_id", "embedding", x, hdbscan(x, 10, 5))
+    return hdbscan_rows(_table(spark, d, "embeddings"), "vec_id", "embedding", 10, 5)
 
 
 @query()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpuslens.config import Config, load_config
 from corpuslens.functions import labels as L
 from corpuslens.functions import text as X
-from corpuslens.operators import analysis, clustering, cooccurrence, crosstabs, entities, ngrams, outliers, tfidf, topics, vectors
+from corpuslens.operators import analysis, clustering, cooccurrence, crosstabs, entities, neighbours, ngrams, outliers, tfidf, topics, vectors
 from corpuslens.plans.pipeline import Pipeline, Step
 from corpuslens.sources import files
 
@@ -157,6 +157,43 @@ def test_lof_of_many_rows_takes_all_as_neighbours(spark):
         assert [got[20_900 + 24 * g + i] for i in range(24)] == pytest.approx(want.tolist(), rel=1e-5)
 
 
+def test_hdbscan_of_many_rows(spark):
+    rng = np.random.default_rng(6)  # two dense blobs, small ones, and noise that no cluster may take
+    x = np.concatenate([rng.normal(0, 0.1, (800, 3)), rng.normal(5, 0.1, (800, 3)), *[rng.uniform(-20, -5, 3) + rng.normal(0, 0.02, (14, 3)) for _ in range(20)], rng.uniform(-30, 30, (120, 3))])
+    df = spark.createDataFrame(pa.table({"id": range(len(x)), "v": x.tolist()})).repartition(3)
+    got = {r.id: r.label for r in clustering.hdbscan_rows(df, "id", "v", 10, 5).collect()}
+    want = clustering.hdbscan(x, 10, 5)
+    groups = lambda labels: {frozenset(np.flatnonzero(labels == k).tolist()) for k in set(labels.tolist()) - {-1}}
+    found = np.array([got[i] for i in range(len(x))])
+    assert groups(found) == groups(want) and len(groups(found)) >= 22 and (found[2 * 800 + 280 :] < 0).sum() > 60
+    ranking, best = clustering.hdbscan_grid(df, "id", "v", (10,), (5,))
+    assert ranking.first().n_noise == (want < 0).sum() and [b.where("label < 0").count() for b in best.values()] == [(want < 0).sum()]
+    assert {r.label for r in clustering.hdbscan_rows(df.limit(1), "id", "v", 10, 5).collect()} == {-1}
+    assert clustering.hdbscan_rows(df.limit(0), "id", "v", 10, 5).count() == 0
+
+
+def test_spanning_tree_is_least(spark):
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(0, 1, (300, 5)), rng.normal(9, 0.01, (200, 5)), np.zeros((30, 5))])
+    rows = neighbours.Rows(spark.createDataFrame(pa.table({"id": range(len(x)), "v": x.tolist()})), "id", "v")
+    r = {row.id: row.r for row in rows.table.collect()}
+    x = x[np.argsort([r[i] for i in range(len(x))])]
+    dist, near = neighbours.lists_of(rows, 6)
+    w, a, b = neighbours.spanning_tree(rows, dist, near, 5)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    core = np.sort(d, axis=1)[:, 5]
+    reach = np.maximum(np.maximum(core[:, None], core[None]), d)
+    assert w == pytest.approx(reach[a, b], rel=1e-6, abs=1e-6)
+    inside, far = np.zeros(len(x), bool), np.full(len(x), np.inf)
+    at, want = 0, []
+    for _ in range(len(x) - 1):
+        inside[at] = True
+        far = np.minimum(far, reach[at])
+        at = int(np.where(inside, np.inf, far).argmin())
+        want.append(far[at])
+    assert sorted(w.tolist()) == pytest.approx(sorted(want), rel=1e-6, abs=1e-6)
+
+
 def test_outlier_votes(blobs):
     _, df = blobs
     rows = {r.id: r for r in outliers.outlier_votes(df, "id", "v").collect()}
