@@ -4,6 +4,10 @@ A table of mentions has a row for each mention: (id, entity, label)."""
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +15,9 @@ from ..functions.labels import star_category, star_number
 from ..functions.text import ascii_fold
 from ..sources.files import keep
 
+#: Forms of an entity without some letters that the merge of similar ones makes at most.
+SHORTENED = 200
+
 
 def mentions(df: DataFrame, id_col: str, entities_col: str = "entities", labels: tuple[str, ...] | None = ("GPE", "LOC", "ORG", "FAC"), min_length: int = 3) -> DataFrame:
     """A row for each element (text, label) of an array column that has one of the labels and min_length characters,
@@ -43,18 +50,33 @@ def merge_similar(groups: DataFrame, ratio: float = 90.0, rounds: int = 50) -> D
     """(entity, leader) for the rows of (entity, mentions): leaders are taken in descending order of mentions (ties by
     name); a leader takes all later entities that are similar to it and not taken before.
 
-    Candidates come from a join on shared pairs of letters within the lengths that the ratio allows, so no two entities
-    without any are compared. Which of them lead follows from rounds: whoever has no candidate before it, or only taken
+    Candidates come from a join on what is left of them without a few letters (long ones: on shared pairs of letters)
+    within the lengths that the ratio allows: every two similar entities meet, and few others. Which of them lead follows from rounds: whoever has no candidate before it, or only taken
     ones, leads; whoever has a leader among its candidates is taken by the first of them."""
     order = F.struct((-F.col("mentions")).alias("m"), F.col("entity").alias("e"))
     ranked = groups.groupBy("entity").agg(F.sum("mentions").alias("mentions")).select("entity", order.alias("r"))
-    # at a ratio of 90 an entity of n letters keeps 0.818 * n of them in order: it shares pairs of neighbours
-    pairs = F.filter(F.transform(F.sequence(F.lit(1), F.length("entity")), lambda i: F.substring("entity", i, 2)), lambda p: F.length(p) == 2)
-    keyed = ranked.select("r", F.length("entity").alias("n"), F.explode(F.array_distinct(pairs)).alias("pair"))
     low = ratio / (200.0 - ratio)
-    a, b = keyed.alias("a"), keyed.alias("b")
-    shared = a.join(b, "pair").where("a.r < b.r").where((F.col("b.n") >= F.col("a.n") * low) & (F.col("b.n") * low <= F.col("a.n")))
-    candidates = shared.select(F.col("a.r").alias("rx"), F.col("b.r").alias("ry")).distinct()
+    # two similar entities are equal once each has lost a few letters: at a ratio of 90, 0.182 of its own at most
+    lost = lambda n: int(n * (1 - low) + 1e-9)
+    short = max([n for n in range(1, 64) if sum(comb(n, i) for i in range(lost(n) + 1)) <= SHORTENED], default=0)
+
+    @F.pandas_udf("array<string>")
+    def shortened(names: pd.Series) -> pd.Series:
+        return names.map(lambda e: list({"".join(c) for i in range(lost(len(e)) + 1) for c in combinations(e, len(e) - i)}))
+
+    sized = ranked.withColumn("n", F.length("entity"))
+    # longer ones have too many shortened forms; at a ratio of 90 they keep 0.818 of their letters in order: they share pairs of neighbours
+    pairs = F.filter(F.transform(F.sequence(F.lit(1), F.length("entity")), lambda i: F.substring("entity", i, 2)), lambda p: F.length(p) == 2)
+    keyed = sized.select("r", "n", F.explode(F.array_distinct(pairs)).alias("key"))
+    keyed_short = sized.where(F.col("n") <= short).select("r", "n", F.explode(shortened("entity")).alias("key"))
+    fits = (F.col("b.n") >= F.col("a.n") * low) & (F.col("b.n") * low <= F.col("a.n"))
+
+    def shared(a: DataFrame, b: DataFrame) -> DataFrame:
+        both = a.alias("a").join(b.alias("b"), F.col("a.key") == F.col("b.key")).where("a.r < b.r").where(fits)
+        return both.select(F.col("a.r").alias("rx"), F.col("b.r").alias("ry"))
+
+    long_, not_long = keyed.where(F.col("n") > short), keyed.where((F.col("n") <= short) & (F.col("n") >= short * low))
+    candidates = shared(keyed_short, keyed_short).union(shared(long_, long_)).union(shared(long_, not_long)).union(shared(not_long, long_)).distinct()
 
     @F.pandas_udf("double")
     def similarity(x, y):

@@ -549,8 +549,7 @@ def rule_entities(spark, d):
 
 @query()
 def fuzzy_entity_merge(spark, d):
-    found = entities.aggregate_entities(_mentions(spark, d)).where("mentions >= 20")
-    return entities.merge_similar(found)
+    return entities.merge_similar(entities.aggregate_entities(_mentions(spark, d)))
 
 
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts)::TIMESTAMP AS day, event_type, count(*)::BIGINT AS n, count(*) FILTER (value >= 60)::BIGINT AS n_positive, count(*) FILTER (value < 40)::BIGINT AS n_negative FROM events GROUP BY ALL")

@@ -92,6 +92,33 @@ def test_entities(spark):
     assert entities.indel_ratio("riviera maya", "riviera mayan") == pytest.approx(96.0)
 
 
+def test_rare_spellings_are_merged(spark, tmp_path):
+    from corpuslens.plans.queries import QUERIES
+
+    names = ["Guanajuato"] * 25 + ["Guanajuatoo", "Guanajuat", "Riviera", "Rivieraa", "Cancun"] + ["Palenque"] * 3 + ["Palenqque"] * 2
+    spark.createDataFrame([(i, f"{n} 1") for i, n in enumerate(names)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    kinds = sorted({n.lower() for n in names}, key=lambda e: (-sum(n.lower() == e for n in names), e))
+    want = {}
+    for i, a in enumerate(kinds):
+        if a not in want:
+            want |= {b: a for b in kinds[i:] if b not in want and (a == b or entities.indel_ratio(a, b) >= 90)}
+    assert dict(QUERIES["fuzzy_entity_merge"](spark, str(tmp_path)).collect()) == want
+    rng = np.random.default_rng(8)  # all lengths, with letters lost, added and changed
+    for ratio in (90.0, 80.0):
+        names = ["".join(rng.choice(list("abcde "), rng.integers(1, 34))) for _ in range(60)]
+        for n in list(names):
+            at = rng.integers(0, len(n), 4)
+            names += [n[: at[0]] + n[at[0] + 1 :], n[: at[1]] + "a" + n[at[1] :], n[: at[2]] + "e" + n[at[2] + 1 :], (n[: at[3]] + n[at[3] + 2 :])]
+        names = sorted({n for n in names if n})
+        groups = spark.createDataFrame([(n, 3) for n in names], "entity string, mentions long")
+        brute = {}
+        for i, a in enumerate(names):
+            if a not in brute:
+                brute |= {b: a for b in names[i:] if b not in brute and (a == b or entities.indel_ratio(a, b) >= ratio)}
+        assert dict(entities.merge_similar(groups, ratio).collect()) == brute
+    assert want["guanajuat"] == "guanajuato" and want["palenqque"] == "palenque"
+
+
 def test_specificity_and_polarization(spark):
     rows = [(i, "A" if i < 3 else "B", 1 if i < 4 else 2, 5.0 if i % 2 else 1.0) for i in range(10)]
     df = spark.createDataFrame([*rows, (99, "A", -1, None)], "id long, location string, topic int, stars double")
