@@ -29,11 +29,9 @@ def keep_one_of_alike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that occur earlier go out of the texts; documents of which nothing is left, though they had words, go."""
-    out = substring_dedup(docs).where("n_removed = 0 OR n_removed < n_words")
-    kept = out.select(F.col("doc_id").alias("_id"), "n_removed", F.col("text").alias("_text"))
-    rows = docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("_id")))
-    text = F.when(F.col("n_removed") > 0, F.col("_text")).otherwise(F.col("text"))
-    return rows.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("n_removed") > 0, F.length("_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+    out = substring_dedup(docs, carry=("doc_id", "lang", "source", "n_chars")).where("n_removed = 0 OR n_removed < n_words")
+    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))
+    return out.select("row.doc_id", "text", "row.lang", "row.source", n_chars.alias("n_chars"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -71,13 +71,14 @@ def worker_cache() -> dict:
     return sys.modules.setdefault("_corpuslens_worker", types.ModuleType("_corpuslens_worker")).__dict__
 
 
-def documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Only what an operator needs, under names of its own: did (null: the largest long), dk (16 bits that tell
-    different texts under one id apart), text (null stays null)."""
+def documents(df: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    """Only what an operator needs, under names of its own: did (null: the largest long), dk (33 bits that tell
+    different texts under one id apart), text (null stays null), and the columns given."""
     return df.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("did"),
-        F.xxhash64(F.col(text_col)).bitwiseAND(0xFFFF).alias("dk"),
+        F.xxhash64(F.col(text_col)).bitwiseAND((1 << 33) - 1).alias("dk"),
         F.col(text_col).cast("string").alias("text"),
+        *more,
     )
 
 

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,7 +26,9 @@ from pyspark.sql import types as T
 from .common import U64, documents, gram_hashes, materialise, public_id, text_chunks, word_bounds, word_hashes
 
 ANCHOR_WORDS = 6
-_LOW = (1 << 40) - 1
+#: A position has 30 bits (a text has 2 ** 31 bytes at most), what tells texts under one id apart 33.
+_AT = 30
+_LOW = (1 << _AT) - 1
 
 
 def _least_positions(values: np.ndarray, width: int) -> np.ndarray:
@@ -72,7 +75,7 @@ def _anchors(window: int):
                 continue
             at = np.unique(anchor)
             row = _row_of(first, at)
-            pk = (_column(batch, "dk")[row].astype(np.int64) << 40) | (at - first[row])
+            pk = (_column(batch, "dk")[row].astype(np.int64) << _AT) | (at - first[row])
             yield pa.RecordBatch.from_arrays([pa.array(grams[at].view(np.int64)), pa.array(_column(batch, "did")[row]), pa.array(pk)], names=["h", "did", "pk"])
 
     return run
@@ -111,7 +114,7 @@ def _lookups(window: int):
             keep[1:] = (h[order][1:] != h[order][:-1]) | (row[order][1:] != row[order][:-1])
             order = order[keep]
             at, row, h = at[order], row[order], h[order]
-            pk = (_column(batch, "dk")[row].astype(np.int64) << 40) | (at - first[row])
+            pk = (_column(batch, "dk")[row].astype(np.int64) << _AT) | (at - first[row])
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(_column(batch, "did")[row]), pa.array(pk)], names=["h", "did", "pk"])
 
     return run
@@ -120,7 +123,7 @@ def _lookups(window: int):
 _OUT = pa.schema([("did", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32())]))), ("text", pa.string())])
 
 
-def _parse(window: int):
+def _parse(window: int, carried: bool = False):
     def run(batches):
         for batch, data, off in text_chunks(batches):
             starts, ends, first, at, anchor, _, _ = _windows(data, off, window)
@@ -150,14 +153,21 @@ def _parse(window: int):
                 if removed[i]:
                     words = [w for w, g in zip(words, gone[first[i] : first[i + 1]].tolist()) if not g]
                 texts.append(b" ".join(words))
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("did")), pa.array(np.diff(first)), pa.array(removed), spans, pa.array(texts, pa.binary()).cast(pa.string())], schema=_OUT)
+            text = pa.array(texts, pa.binary()).cast(pa.string())
+            get = lambda c: batch.column(batch.schema.get_field_index(c))
+            out, schema = [get("did"), pa.array(np.diff(first)), pa.array(removed), spans], _OUT
+            if carried:
+                text = pc.if_else(pa.array(removed > 0), text, get("text"))
+                schema = schema.append(pa.field("row", get("row").type))
+            yield pa.RecordBatch.from_arrays([*out, text, *([get("row")] if carried else [])], schema=schema)
 
     return run
 
 
-def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:
+def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, spans (start and length in words of what went), text (the
-    words kept, joined by one space).
+    words kept, joined by one space). With `carry` also the columns named there as a struct `row`, and a text of which
+    nothing goes stays as it was.
 
     A word goes if a window of `window` consecutive words that covers it also starts earlier in the corpus: under a
     smaller id, or earlier in the same document. Windows are judged on the input. Defined cases: null and empty texts
@@ -165,12 +175,13 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows with equal id and text are one document, each row with the same result; different texts under one id are
     different documents, and which of them is the earlier one is not said; other columns are not looked at."""
     docs = documents(df, id_col, text_col)
+    rows = documents(df, id_col, text_col, F.struct(*carry).alias("row")) if carry else docs
     alone = (
         docs.mapInArrow(_anchors(window), "h long, did long, pk long")
         .groupBy("h")
         .agg(F.count("*").alias("n"), F.min("did").alias("did"), F.min("pk").alias("pk"))
         .where("n = 1")
-        .select("did", F.shiftright("pk", 40).alias("dk"), F.col("pk").bitwiseAND(_LOW).cast("int").alias("at"))
+        .select("did", F.shiftright("pk", _AT).alias("dk"), F.col("pk").bitwiseAND(_LOW).cast("int").alias("at"))
     )
     alone = materialise(_gathered(alone, "alone"))
     texts = docs.join(alone, ["did", "dk"], "left")
@@ -178,10 +189,12 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         texts.mapInArrow(_lookups(window), "h long, did long, pk long")
         .groupBy("h")
         .agg(F.min("did").alias("did0"), F.min_by("pk", "did").alias("pk"))
-        .select(F.col("did0").alias("did"), F.shiftright("pk", 40).alias("dk"), F.col("pk").bitwiseAND(_LOW).cast("int").alias("at"))
+        .select(F.col("did0").alias("did"), F.shiftright("pk", _AT).alias("dk"), F.col("pk").bitwiseAND(_LOW).cast("int").alias("at"))
     )
-    out = texts.join(_gathered(earliest, "earliest"), ["did", "dk"], "left").mapInArrow(_parse(window), _schema())
-    return out.select(public_id("did").alias("doc_id"), "n_words", "n_removed", "spans", "text")
+    texts = rows.join(alone, ["did", "dk"], "left")
+    schema = _schema().add(rows.schema["row"]) if carry else _schema()
+    out = texts.join(_gathered(earliest, "earliest"), ["did", "dk"], "left").mapInArrow(_parse(window, bool(carry)), schema)
+    return out.select(public_id("did").alias("doc_id"), "n_words", "n_removed", "spans", "text", *(["row"] if carry else []))
 
 
 def _gathered(positions: DataFrame, name: str) -> DataFrame:

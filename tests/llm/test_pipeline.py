@@ -42,6 +42,17 @@ def test_stages_against_brute_force(spark, docs, tmp_path):
     assert before
 
 
+def test_repeats_go_row_by_row(spark):
+    passage = " ".join(f"w{i}" for i in range(30))
+    texts = [(1, f"a  b {passage}"), (2, f"c {passage} d"), (2, f"c {passage} d"), (3, "one  text"), (3, f"other {passage}"), (None, f"null {passage}"), (None, "no  id"), (None, None), (None, None)]
+    texts += [(None, f"{' '.join(f'n{i}x{j}' for j in range(25))}  {i}") for i in range(600)]  # of 16 bits some would be equal
+    rows = [(d, t, f"l{i}", "s", 7) for i, (d, t) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r.lang, r.doc_id, r.text, r.n_chars) for r in corpus_pipeline.drop_repeats(spark, docs, "").collect())
+    less = {1: "c d", 2: "c d", 4: "other", 5: "null"}
+    assert got == sorted((r[2], r[0], less.get(i, r[1]), len(less[i]) if i in less else 7) for i, r in enumerate(rows))
+
+
 def test_all_queries_are_registered():
     names = set(__spark_entry__.queries())
     assert set(queries.QUERIES) <= names
