@@ -295,8 +295,22 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def jaccard_keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of df without those that link, directly or not, to a document of a smaller id. All columns stay; rows
-    with an equal id stay or go together, and documents without words stay."""
-    found = jaccard_components(df, id_col, text_col, k, percent)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return df.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    """df with one row of every group of rows that link, directly or not: one of the smallest id (null after all ids).
+    All columns stay. A row is known by its id and text, so rows of one id, or without any, link by their texts only;
+    of equal ones one stays. Rows without words stay."""
+    id_ = F.col(id_col).cast("long")
+    row = F.xxhash64(id_, F.col(text_col).cast("string"), id_.isNull(), F.col(text_col).isNull()).alias("_row")
+    found = jaccard_components(df.select(row, text_col), "_row", text_col, k, percent)
+    found = materialise(found.select(F.col("doc_id").alias("_row"), "n_shingles", F.col("component_id").alias("c")))
+    ids = df.select(row, id_.alias("id")).distinct()
+    rows = found.groupBy("_row").agg(F.max("n_shingles").alias("n"), F.min("c").alias("c"), F.count("*").alias("rows"))
+    best = rows.where("n > 0").join(ids, "_row").groupBy("c").agg(F.min(F.struct(F.col("id").isNull(), "id", "_row", "rows")).alias("m"))
+    kept = materialise(best.select("m._row", (F.col("m.rows") > 1).alias("_equal")).union(rows.where("n = 0").select("_row", F.lit(False))))
+    out = df.withColumn("_row", row).join(kept.where("NOT _equal").select("_row"), "_row", "left_semi").select(*df.columns)
+    equal = kept.where("_equal").select("_row")
+    if equal.isEmpty():
+        return out
+    # of equal rows the first by their other columns: the aggregate leaves one a task before it sends any
+    same = df.withColumn("_row", row).join(equal, "_row", "left_semi")
+    one = same.groupBy("_row").agg(F.min(F.struct(*df.columns)).alias("r"))
+    return out.union(one.select("r.*"))

@@ -42,6 +42,22 @@ def test_stages_against_brute_force(spark, docs, tmp_path):
     assert before
 
 
+def test_one_of_alike_whatever_its_id(spark):
+    text = lambda key, n=40: " ".join(f"{key}{i}" for i in range(n))
+    near = lambda key: text(key) + " tail"
+    rows = [(5, text("a")), (None, near("a")), (None, text("b")), (None, text("c")), (None, near("c")), (None, text("d")), (None, text("d"))]
+    rows += [(6, text("e")), (6, text("f")), (7, near("f")), (8, text("g")), (8, text("g")), (9, text("h")), (3, near("h")), (None, text("a"))]
+    rows += [(None, None), (None, None), (10, " "), (10, " "), (11, "")]
+    docs = spark.createDataFrame([(d, t, "en", f"s{i}", 1) for i, (d, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.keep_one_of_alike(spark, docs, "")
+    assert kept.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    c = [r for r in got if r[1] and r[1].startswith("c0 ")]
+    assert len(c) == 1 and c[0][0] is None
+    want = [(5, text("a")), (None, text("b")), c[0], (None, text("d")), (6, text("e")), (6, text("f")), (8, text("g")), (3, near("h"))] + rows[-5:]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_repeats_go_row_by_row(spark):
     passage = " ".join(f"w{i}" for i in range(30))
     texts = [(1, f"a  b {passage}"), (2, f"c {passage} d"), (2, f"c {passage} d"), (3, "one  text"), (3, f"other {passage}"), (None, f"null {passage}"), (None, "no  id"), (None, None), (None, None)]
