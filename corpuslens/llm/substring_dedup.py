@@ -1,15 +1,15 @@
-"""Removal of passages that occur earlier in the corpus: a distributed relative Lempel-Ziv parse.
+"""Removal of passages that occur earlier in the corpus: by grouping windows of words.
 
-A document is factored against the whole corpus before it. The reference is indexed by anchors: of the k-word grams in
+This stands in for a relative Lempel-Ziv parse: words are found that a repeated window covers, without factors or their
+sources. The corpus is indexed by anchors: of the k-word grams in
 a window of `window` words, the one with the least hash (winnowing), so that equal windows always have equal anchors.
 The index lies in blocks by the hash of the anchor, one block a shuffle partition; all steps are aggregates with
 map-side combination, so a passage that a third of all documents share costs one row a task:
 
 1. anchors that occur once in the corpus are sent back to their documents; no window around them is repeated;
 2. windows at the other anchors look for their earliest start in the index (fingerprints of 64 bits);
-3. each document is parsed greedily: a factor begins at a window that starts earlier elsewhere and goes on as long as
-   the next window does too; at a factor's ends the windows across the boundary have been looked up themselves, so no
-   repeat that lies across two factors is lost. Every factor has `window` words at least and is a duplicate span.
+3. in each document the windows that start earlier elsewhere are united where they overlap or touch: every such span
+   has `window` words at least, and its parts may have different sources.
 
 Two different windows are taken for equal with a chance of 2 ** -64.
 """
@@ -130,11 +130,11 @@ def _parse(window: int, carried: bool = False):
             n = len(starts)
             at = _candidates(batch, first, at, anchor, n)
             repeated = at[~_marks(batch, "earliest", first, n)[at]] if len(at) else at
-            depth = np.zeros(n + 1, dtype=np.int64)  # factors: runs of words under repeated windows
+            depth = np.zeros(n + 1, dtype=np.int64)  # spans: runs of words under repeated windows
             np.add.at(depth, repeated, 1)
             np.add.at(depth, repeated + window, -1)
             gone = np.cumsum(depth)[:n] > 0
-            edge = np.zeros(n + 1, dtype=bool)  # a factor never crosses rows
+            edge = np.zeros(n + 1, dtype=bool)  # a span never crosses rows
             edge[first] = True
             begin, end = gone.copy(), gone.copy()
             if n:
