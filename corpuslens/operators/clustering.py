@@ -25,7 +25,11 @@ def _points(df: DataFrame, id_col: str, vector_col: str, rows: int) -> tuple[np.
 
 def _distances(x: np.ndarray) -> np.ndarray:
     s = (x * x).sum(axis=1)
-    return np.sqrt(np.maximum(s[:, None] + s[None, :] - 2 * x @ x.T, 0))
+    d = (-2 * x) @ x.T  # in place from here: thousands of rows make hundreds of MB
+    d += s[:, None]
+    d += s[None, :]
+    np.maximum(d, 0, out=d)
+    return np.sqrt(d, out=d)
 
 
 def silhouette(x: np.ndarray, labels: np.ndarray) -> float:

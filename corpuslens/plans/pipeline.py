@@ -181,7 +181,7 @@ STEPS = {
         Step("keywords", ("clean", "clusters"), _keywords),
         Step("representatives", ("clean", "clusters", "vectors"), _representatives),
         Step("concept", ("clean", "vectors"), _concept),
-        Step("hierarchy", ("vectors",), lambda spark, t, c: clustering.hierarchy(t["vectors"], "doc_id", "vec", sample=min(1000, c.linkage_sample))),
+        Step("hierarchy", ("vectors",), lambda spark, t, c: clustering.hierarchy(t["vectors"], "doc_id", "vec", sample=c.linkage_sample)),
         Step("entity_pairs", ("clean", "entity_groups"), _pairs),
         Step("communities", ("entity_pairs",), lambda spark, t, c: cooccurrence.communities(t["entity_pairs"])),
         Step("entity_metrics", ("entity_groups", "clean", "clusters"), lambda spark, t, c: entities.entity_metrics(t["entity_groups"], _corpus(t), c.entity_min_docs, c.entity_max)),

@@ -468,14 +468,15 @@ def svd_projection(spark, d):
 def kmeans_grid(spark, d):
     from ..operators.clustering import kmeans_grid as grid
 
-    return grid(_table(spark, d, "embeddings"), "vec_id", "embedding", (2, 6))[0]
+    return grid(_table(spark, d, "embeddings"), "vec_id", "embedding")[0]
 
 
 @query()
 def agglomerative_labels(spark, d):
     from ..operators.clustering import agglomerative_grid
 
-    return next(iter(agglomerative_grid(_table(spark, d, "embeddings"), "vec_id", "embedding", (2, 6), ("ward",), 1000)[1].values()))
+    ranking, labels = agglomerative_grid(_table(spark, d, "embeddings"), "vec_id", "embedding")
+    return labels[ranking.where(F.col("params").isin(*labels)).orderBy(F.desc("score"), "params").first()["params"]]
 
 
 @query()
@@ -487,18 +488,18 @@ def hdbscan_labels(spark, d):
 
 @query()
 def best_model_per_algorithm(spark, d):
-    from ..operators.clustering import agglomerative_grid, best_models, rank_models
+    from ..operators.clustering import agglomerative_grid, best_models, hdbscan_grid, rank_models
     from ..operators.clustering import kmeans_grid as grid
 
     e = _table(spark, d, "embeddings")
-    return best_models(rank_models([("embeddings", grid(e, "vec_id", "embedding", (2, 4))[0]), ("embeddings", agglomerative_grid(e, "vec_id", "embedding", (2, 4), ("average",), 1000)[0])]))
+    return best_models(rank_models([("embeddings", g(e, "vec_id", "embedding")[0]) for g in (grid, agglomerative_grid, hdbscan_grid)]))
 
 
 @query()
 def hierarchy_nodes(spark, d):
     from ..operators.clustering import hierarchy
 
-    return hierarchy(_table(spark, d, "embeddings"), "vec_id", "embedding", "label", sample=1000)
+    return hierarchy(_table(spark, d, "embeddings"), "vec_id", "embedding", "label")
 
 
 @query()

@@ -32,3 +32,9 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_hierarchy_has_a_leaf_for_every_row_up_to_5000(spark, tmp_path):
+    rows = [(i, [float(i % 37), float(i * i % 101)], i % 3) for i in range(1200)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert plans.QUERIES["hierarchy_nodes"](spark, str(tmp_path)).where("is_leaf").count() == 1200
