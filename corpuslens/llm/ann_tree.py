@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash_sample, materialise
+from .common import hash_sample, materialise, trimmed
 from .vectors import lists, matrix, usable_vectors
 
 #: Vectors to fit the tree on (about: a sample by hash); branches of a node; vectors of the sample in a leaf at most.
@@ -136,7 +136,7 @@ def _fit(k: int, recall: float):
         tree.__dict__.pop("_cache", None)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((tree.centres, tree.children, tree.leaf, tree.leaves))], pa.binary()), pa.array([visits], pa.int64())], names=["tree", "visits"])
 
-    return run
+    return trimmed(run)
 
 
 def _loaded(shared) -> Tree:
@@ -154,7 +154,7 @@ def _file(shared):
                 leaf = tree.file(x)
                 yield pa.RecordBatch.from_arrays([pa.array(leaf // BIN_LEAVES), pa.array(leaf), b.column(0), b.column(1)], names=["bin", "leaf", "id", "vec"])
 
-    return run
+    return trimmed(run)
 
 
 def _walk(shared):
@@ -178,7 +178,7 @@ def _walk(shared):
             if at:
                 yield pa.RecordBatch.from_arrays([pa.array(bins, pa.int64()), pa.array(leaves, pa.list_(pa.int64())), b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at))], names=["bin", "leaves", "qid", "q"])
 
-    return run
+    return trimmed(run)
 
 
 def _nearest(k: int):

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import contextlib
-import sys
+import ctypes
+import functools
+import gc
 import tempfile
-import types
 import uuid
 from collections.abc import Iterator
 
@@ -15,7 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at once (a longer text is handled alone).
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
+#: Bytes of rows that the JVM and a Python worker hold as one Arrow batch, at most (a larger row is a batch of its own).
+BATCH_BYTES = 8 << 20
 #: The separators of words: space, and 0x09 to 0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 SEPARATORS = np.zeros(256, dtype=bool)
@@ -23,12 +26,17 @@ SEPARATORS[[0x20, *range(0x09, 0x0E)]] = True
 U64 = np.uint64
 NULL_ID = (1 << 63) - 1
 _SCRATCH: list[str] = []
+#: Small tables of a task (a few MB); they go when it ends.
+_KNOWN: dict = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A folder all executors share: spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    """A folder all executors share: spark.checkpoint.dir; a local one only where that is unset and all executors are
+    in this machine's one process (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"file://{tempfile.gettempdir()}/corpuslens-scratch"
     path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
     _SCRATCH.append(path)
@@ -66,14 +74,41 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def worker_cache() -> dict:
-    """A dict that lives as long as the Python worker, whichever task runs in it."""
-    return sys.modules.setdefault("_corpuslens_worker", types.ModuleType("_corpuslens_worker")).__dict__
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_BYTES at most from now on in this session (lower settings stay): texts differ in length by
+    orders of magnitude, so a number of rows bounds nothing."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = int(spark.conf.get(key).rstrip("b"))
+    if not 0 < before <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def give_back() -> None:
+    """Freed memory of this Python worker goes back to the system: a worker lives on after its task."""
+    _KNOWN.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def trimmed(run):
+    """The function of a task, after which its worker holds no more than before."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
 
 
 def documents(df: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
     """Only what an operator needs, under names of its own: did (null: the largest long), dk (33 bits that tell
     different texts under one id apart), text (null stays null), and the columns given."""
+    bounded_batches(df.sparkSession)
     return df.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("did"),
         F.xxhash64(F.col(text_col)).bitwiseAND((1 << 33) - 1).alias("dk"),
@@ -162,16 +197,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1) modulo 2 ** 64, kept in the worker."""
-    cache = worker_cache().setdefault("powers", {})
-    have = cache.get(base)
+    """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
+    have = _KNOWN.get(base)
     if have is None or len(have) < n:
-        size = max(n, CHUNK_BYTES + 2)
-        have = np.full(size, base, dtype=U64)
+        have = np.full(max(n, CHUNK_BYTES + 2), base, dtype=U64)
         have[0] = 1
         np.cumprod(have, out=have)
         if n <= CHUNK_BYTES + 2:
-            cache[base] = have
+            _KNOWN[base] = have
     return have[:n]
 
 
@@ -198,10 +231,9 @@ def byte_values(fold: bool = False) -> np.ndarray:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
-    cache = worker_cache().setdefault("byte_values", {})
-    if fold not in cache:
-        cache[fold] = byte_values(fold)
-    return spans_hash(cache[fold][data], starts, ends, _P)
+    if fold not in _KNOWN:
+        _KNOWN[fold] = byte_values(fold)
+    return spans_hash(_KNOWN[fold][data], starts, ends, _P)
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, materialise
+from .common import hash_sample, materialise, trimmed
 from .components import connected_components
 from .vectors import lists, matrix, usable_vectors
 
@@ -64,7 +64,7 @@ def _describe(shared, single: bool):
                 of = np.repeat(np.arange(len(part)), len(pairs))
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(b.column(0).to_numpy()[a : a + 1024][of]), pa.array(b.column(1).to_numpy()[a : a + 1024][of]), lists(at[of].astype(np.int16)), lists(part[of].astype(np.float32 if single else np.float64))], names=["key", "cid", "n", "near", "vec"])
 
-    return run
+    return trimmed(run)
 
 
 def _local_components(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -154,7 +154,7 @@ def _compare(least: float):
         if parts and sum(len(p["cid"]) for p in parts) > 1 and (found := solve(now, parts)):
             yield out(found)
 
-    return run
+    return trimmed(run)
 
 
 def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.95) -> DataFrame:

@@ -21,16 +21,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, arrow_rows, documents, gram_hashes, materialise, mix, public_id, text_chunks, word_bounds, word_hashes
+from .common import U64, documents, gram_hashes, materialise, mix, public_id, text_chunks, trimmed, word_bounds, word_hashes
 from .components import connected_components
 
-#: Counters of the frequency table, and rows in which tasks hand theirs over.
-COUNTERS, SLICES = 1 << 19, 32
-#: Texts, and sets, in an Arrow batch.
-TEXT_ROWS, SET_ROWS = 2000, 500
+#: Counters of the frequency table: SHARE for each document, as a power of two from the first bound to the second (a byte
+#: each where they are used); rows in which tasks hand theirs over.
+SHARE, COUNTERS, SLICES = 16, (1 << 14, 1 << 22), 32
+#: Groups that a list's entry meets in one task, at most (about): longer lists are cut into blocks.
+BLOCK = 4096
 #: Cells of a set's outline: how many of its elements fall in each.
 CELLS = 128
-#: Bits of the filter of wanted documents (2 MB at most); where it fills up more sets are sent than needed, never fewer.
+#: Bits of the filters of wanted documents and elements (2 MB at most); where one fills up more is sent than needed, never
+#: less.
 FILTER_BITS = 1 << 24
 
 
@@ -48,49 +50,54 @@ def _sets(data: np.ndarray, off: np.ndarray, k: int):
             yield np.zeros(0, dtype=U64)
 
 
-def _counter(h: np.ndarray) -> np.ndarray:
-    return (h & U64(COUNTERS - 1)).astype(np.int64)
+def _counter(h: np.ndarray, counters: int) -> np.ndarray:
+    return (h & U64(counters - 1)).astype(np.int64)
 
 
-def _count(k: int):
+def _count(k: int, counters: int):
     def run(batches):
-        counts = np.zeros(COUNTERS, dtype=np.int64)
+        counts = np.zeros(counters, dtype=np.uint32)
         for _, data, off in text_chunks(batches):
             held = list(_sets(data, off, k))
             if held:
-                counts += np.bincount(_counter(np.concatenate(held)), minlength=COUNTERS)
+                at, n = np.unique(_counter(np.concatenate(held), counters), return_counts=True)
+                counts[at] += n.astype(np.uint32)
         if counts.any():
-            parts = [_packed(p) for p in np.split(counts, SLICES)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=["slice", "counts"])
+            for i, part in enumerate(np.split(counts, SLICES)):
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([_packed(part)], pa.binary())], names=["slice", "counts"])
 
-    return run
+    return trimmed(run)
 
 
 def _packed(counts: np.ndarray) -> bytes:
-    """Counters as 4 bytes each where they fit, with a leading byte that says so."""
-    return b"4" + counts.astype("<u4").tobytes() if counts.max() < 1 << 32 else b"8" + counts.astype("<i8").tobytes()
+    """Counters in the least number of bytes that holds the largest, with a leading byte that says how many."""
+    width = next(w for w in (1, 2, 4, 8) if counts.max() < 1 << 8 * w - (w == 8))
+    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
 
 
 def _unpacked(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, dtype="<u4" if raw[:1] == b"4" else "<i8", offset=1).astype(np.int64)
+    return np.frombuffer(raw, dtype=f"<u{raw[0]}", offset=1).astype(np.int64)
 
 
-def _add(batches):
+def _levels(batches):
+    """Summed counters of a slice as levels: four to a doubling, so a byte holds any."""
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             sums[i] = sums.get(i, 0) + _unpacked(raw)
-    if sums:
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([_packed(v) for v in sums.values()], pa.binary())], names=["slice", "counts"])
+    for i, v in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([np.round(4 * np.log2(v + 1.0)).astype(np.uint8).tobytes()], pa.binary())], names=["slice", "levels"])
 
 
 def _frequencies(docs: DataFrame, k: int) -> np.ndarray:
-    """The counters of the whole corpus: a fixed number, whatever the input."""
-    each = docs.select("text").mapInArrow(_count(k), "slice int, counts binary")
-    total = each.repartition(SLICES, "slice").mapInArrow(_add, "slice int, counts binary")
-    out = np.zeros((SLICES, COUNTERS // SLICES), dtype=np.int64)
-    for row in total.collect():  # SLICES rows
-        out[row["slice"]] += _unpacked(row["counts"])
+    """How frequent the elements of each counter are over the whole corpus, as levels. The table grows with the corpus
+    up to 4 MB; beyond that more elements share a counter, which makes lists longer, not results other."""
+    counters = max(COUNTERS[0], min(COUNTERS[1], 1 << (SHARE * max(1, docs.count())).bit_length()))
+    each = docs.select("text").mapInArrow(_count(k, counters), "slice int, counts binary")
+    total = each.repartition(SLICES, "slice").mapInArrow(trimmed(_levels), "slice int, levels binary")
+    out = np.zeros((SLICES, counters // SLICES), dtype=np.uint8)
+    for row in total.collect():  # SLICES rows, 4 MB together
+        out[row["slice"]] = np.frombuffer(row["levels"], dtype=np.uint8)
     return out.reshape(-1)
 
 
@@ -127,7 +134,7 @@ def _alike_in_outline(percent: int):
                 keep.append(100 * both >= percent * (int(x.sum() + y.sum()) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return run
+    return trimmed(run)
 
 
 def _described(shared, k: int, percent: int):
@@ -140,7 +147,7 @@ def _described(shared, k: int, percent: int):
                 with np.errstate(over="ignore"):
                     s1.append(int(np.add.reduce(mix(h.copy())).astype(np.int64)) if len(h) else 0)
                     s2.append(int(np.add.reduce(mix(h ^ U64(0x5851F42D4C957F2D))).astype(np.int64)) if len(h) else 0)
-                prefix = h[np.argsort(common[_counter(h)], kind="stable")[: _prefix_length(len(h), percent)]]
+                prefix = h[np.argsort(common[_counter(h, len(common))], kind="stable")[: _prefix_length(len(h), percent)]]
                 p1.append(int(np.add.reduce(mix(prefix * U64(3))).astype(np.int64)) if len(prefix) else 0)
                 prefixes.append(prefix.view(np.int64))
                 outlines.append(_outline(h))
@@ -149,7 +156,7 @@ def _described(shared, k: int, percent: int):
             get = lambda c: batch.column(batch.schema.get_field_index(c))
             yield pa.RecordBatch.from_arrays([get("did"), get("dk"), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(p1, pa.int64()), lists, pa.array(outlines, pa.binary())], names=["did", "dk", "n", "s1", "s2", "p1", "prefix", "outline"])
 
-    return run
+    return trimmed(run)
 
 
 def _bit(c: Column) -> Column:
@@ -184,7 +191,7 @@ def _entries(shared):
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays([pa.array(values[at]), batch.column(0).take(take), batch.column(1).take(take), pa.array(at - off[row])], names=["element", "g", "n", "i"])
 
-    return run
+    return trimmed(run)
 
 
 def _whole_sets(shared, k: int):
@@ -197,7 +204,7 @@ def _whole_sets(shared, k: int):
                 sets = pa.array([h.tobytes() for h in _sets(data, off, k)], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("did")), sets], names=["id", "elements"])
 
-    return run
+    return trimmed(run)
 
 
 def _similar(percent: int):
@@ -213,7 +220,7 @@ def _similar(percent: int):
                 keep.append(100 * both >= percent * (len(a) + len(b) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return run
+    return trimmed(run)
 
 
 def _with(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
@@ -227,9 +234,8 @@ def _verified(spark, docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: i
     pairs = materialise(_with(pairs, classes, "outline").mapInArrow(_alike_in_outline(percent), "a long, b long"))
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
     bits = spark.sparkContext.broadcast(_filter(ids.select(_bit(F.col("id")).alias("bit"))))
-    with arrow_rows(spark, SET_ROWS):
-        sets = materialise(docs.select("did", "text", _bit(F.col("did")).alias("bit")).mapInArrow(_whole_sets(bits, k), "id long, elements binary"))
-        return materialise(_with(pairs, sets, "elements").mapInArrow(_similar(percent), "a long, b long"))
+    sets = materialise(docs.select("did", "text", _bit(F.col("did")).alias("bit")).mapInArrow(_whole_sets(bits, k), "id long, elements binary"))
+    return materialise(_with(pairs, sets, "elements").mapInArrow(_similar(percent), "a long, b long"))
 
 
 def _may_be_similar(n1: str, i1: str, n2: str, i2: str, percent: int) -> Column:
@@ -249,9 +255,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     of them does; other columns are not looked at. Shingles are hashes of 64 bits."""
     spark = df.sparkSession
     docs = documents(df, id_col, text_col)
-    with arrow_rows(spark, TEXT_ROWS):
-        common = spark.sparkContext.broadcast(_frequencies(docs, k))
-        described = materialise(docs.mapInArrow(_described(common, k, percent), "did long, dk long, n long, s1 long, s2 long, p1 long, prefix array<long>, outline binary"))
+    common = spark.sparkContext.broadcast(_frequencies(docs, k))
+    described = materialise(docs.mapInArrow(_described(common, k, percent), "did long, dk long, n long, s1 long, s2 long, p1 long, prefix array<long>, outline binary"))
     narrow = described.select("did", "n", "s1", "s2", "p1", "outline").where("n > 0")
     classes = materialise(narrow.groupBy("n", "s1", "s2", "p1").agg(F.min("did").alias("id"), F.first("outline").alias("outline")))
     # groups of classes with an equal prefix and size, in which similarity to another class is possible at all
@@ -278,12 +283,15 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     placed = members.join(found, "id", "left").select("g", "id", F.coalesce("component", "id").alias("component"))
     spread = entries.select("element", "g", "n", "i", "n0").join(placed, "g")
     # a list of one component has nothing left to find, nor an entry too far down for the smallest set of its list
-    open_lists = spread.groupBy("element").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("element")
+    open_lists = spread.groupBy("element").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("rows")).where("c0 < c1")
+    open_lists = open_lists.select("element", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
     floor = F.greatest(F.col("n0"), F.ceil(F.col("n") * percent / 100))
     spread = spread.where((F.col("n") - F.col("i")) >= F.ceil((F.col("n") + floor) * percent / (100 + percent) - F.lit(1e-9))).join(open_lists, "element")
-    left = spread.select("element", F.col("id").alias("a"), F.col("n").alias("n1"), F.col("i").alias("i1"), F.col("component").alias("c1"))
-    right = spread.select("element", F.col("id").alias("b"), F.col("n").alias("n2"), F.col("i").alias("i2"), F.col("component").alias("c2"))
-    again = left.join(right, "element").where((F.col("a") < F.col("b")) & (F.col("c1") != F.col("c2"))).where(_may_be_similar("n1", "i1", "n2", "i2", percent)).select("a", "b")
+    # the one side of a long list is cut into blocks, the other one goes to all of them: a key holds BLOCK entries of it
+    own, every = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = spread.select("element", own.alias("block"), F.col("id").alias("a"), F.col("n").alias("n1"), F.col("i").alias("i1"), F.col("component").alias("c1"))
+    right = spread.select("element", every.alias("block"), F.col("id").alias("b"), F.col("n").alias("n2"), F.col("i").alias("i2"), F.col("component").alias("c2"))
+    again = left.join(right, ["element", "block"]).where((F.col("a") < F.col("b")) & (F.col("c1") != F.col("c2"))).where(_may_be_similar("n1", "i1", "n2", "i2", percent)).select("a", "b")
     inner = placed.select("g", F.col("id").alias("a"), F.col("component").alias("c1")).join(placed.select("g", F.col("id").alias("b"), F.col("component").alias("c2")), "g").where("a < b AND c1 <> c2").select("a", "b")
     more = _verified(spark, docs, again.union(inner).distinct(), classes, k, percent)
     if not more.isEmpty():

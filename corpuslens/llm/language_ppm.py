@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, is_held_out, text_chunks
+from .common import bounded_batches, buffers, is_held_out, text_chunks, trimmed
 
 #: Texts per language to learn from (about: a sample by hash).
 SAMPLE_TEXTS = 500
@@ -70,6 +70,7 @@ def code_lengths(counts: np.ndarray) -> np.ndarray:
     return (total + np.where(coded, 0.0, np.log2(np.maximum(left, 1)))).astype(np.float32)
 
 
+@trimmed
 def _observe(batches):
     """Histogram of contexts per language over all 256 symbols' used part, as (lang, context, n)."""
     for batch in batches:
@@ -141,7 +142,7 @@ def _classify(shared):
             get = lambda c: batch.column(batch.schema.get_field_index(c))
             yield pa.RecordBatch.from_arrays([get("doc_id"), get("held_out"), pa.array(names.tolist(), pa.string()), pa.array(np.where(lettered, score, 0.0))], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    return run
+    return trimmed(run)
 
 
 def identify_language(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -150,6 +151,7 @@ def identify_language(df: DataFrame, model: dict, id_col: str = "doc_id", text_c
 
     Defined cases: 'und' with score 0 for texts that are null or have no letter, and where nothing was learned; of equal
     code lengths the first language by name; a null id is not held out; other columns are not looked at."""
+    bounded_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), is_held_out(id_col).alias("held_out"))
     return docs.mapInArrow(_classify(shared), "doc_id long, held_out boolean, lang_pred string, score double")

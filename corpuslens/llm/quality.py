@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, buffers, hash_sample, is_held_out, mix, spans_hash, text_chunks
+from .common import U64, bounded_batches, buffers, hash_sample, is_held_out, mix, spans_hash, text_chunks, trimmed
 
 #: Labelled rows to train on (about: a sample by hash); hashed features; passes.
 SAMPLE_ROWS, BITS, EPOCHS = 8_000, 18, 3
@@ -79,6 +79,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> np.ndarray:
     return at_rest(np.arange((1 << BITS) + 1)).astype(np.float32)
 
 
+@trimmed
 def _train(batches):
     rows = []
     for batch in batches:
@@ -92,6 +93,7 @@ def _train(batches):
 def train_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> np.ndarray:
     """Weights from about `sample_rows` labelled rows. A document with several labels has the larger one; null labels
     and null ids are left out; with no row at all the weights are 0 and every text scores one half."""
+    bounded_batches(df.sparkSession)
     known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(F.col(label_col)).alias("_y")).where("_id IS NOT NULL")
     sample = hash_sample(known, "_id", sample_rows, known.count())
     rows = df.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(sample, "_id")
@@ -107,7 +109,7 @@ def _score(shared):
             scores = [_sigmoid(float(weights[at] @ value + weights[-1])) for at, value in features(data, off)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "score"])
 
-    return run
+    return trimmed(run)
 
 
 def quality_scores(df: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -115,6 +117,7 @@ def quality_scores(df: DataFrame, weights: np.ndarray, id_col: str = "doc_id", t
 
     Defined cases: null and empty texts have no n-grams and get the score of the constant alone; a null id is not held
     out; equal rows are scored alike; other columns are not looked at."""
+    bounded_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(weights)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), is_held_out(id_col).alias("held_out"))
     return docs.mapInArrow(_score(shared), "doc_id long, held_out boolean, score double")

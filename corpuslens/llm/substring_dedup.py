@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, documents, gram_hashes, materialise, public_id, text_chunks, word_bounds, word_hashes
+from .common import U64, documents, gram_hashes, materialise, public_id, text_chunks, trimmed, word_bounds, word_hashes
 
 ANCHOR_WORDS = 6
 #: A position has 30 bits (a text has 2 ** 31 bytes at most), what tells texts under one id apart 33.
@@ -78,7 +78,7 @@ def _anchors(window: int):
             pk = (_column(batch, "dk")[row].astype(np.int64) << _AT) | (at - first[row])
             yield pa.RecordBatch.from_arrays([pa.array(grams[at].view(np.int64)), pa.array(_column(batch, "did")[row]), pa.array(pk)], names=["h", "did", "pk"])
 
-    return run
+    return trimmed(run)
 
 
 def _lists(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +117,7 @@ def _lookups(window: int):
             pk = (_column(batch, "dk")[row].astype(np.int64) << _AT) | (at - first[row])
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(_column(batch, "did")[row]), pa.array(pk)], names=["h", "did", "pk"])
 
-    return run
+    return trimmed(run)
 
 
 _OUT = pa.schema([("did", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32())]))), ("text", pa.string())])
@@ -161,7 +161,7 @@ def _parse(window: int, carried: bool = False):
                 schema = schema.append(pa.field("row", get("row").type))
             yield pa.RecordBatch.from_arrays([*out, text, *([get("row")] if carried else [])], schema=schema)
 
-    return run
+    return trimmed(run)
 
 
 def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, carry: tuple[str, ...] = ()) -> DataFrame:

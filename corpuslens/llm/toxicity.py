@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, is_held_out, worker_cache
+from .common import _KNOWN, bounded_batches, hash_sample, is_held_out, trimmed
 
 #: Labelled rows that a lexicon is learned from, at most (about: a sample by hash).
 SAMPLE_ROWS = 8_000
@@ -66,8 +66,9 @@ class _Folds(dict):
 
 def fold(text: str) -> str:
     """Lower-case words, a space before, between and after them (runs of spaces stay)."""
-    table = worker_cache().get("folds") or worker_cache().setdefault("folds", _Folds(_folds()))
-    return f" {text.translate(table)} "
+    if "folds" not in _KNOWN:
+        _KNOWN["folds"] = _Folds(_folds())
+    return f" {text.translate(_KNOWN['folds'])} "
 
 
 def _held(text: str | None) -> set[str]:
@@ -106,6 +107,7 @@ def _lexicon(rows: list[tuple[str | None, int]]) -> str:
     return json.dumps({"entries": entries, "rate": _threshold(sorted((weight / max(n, 1), y) for weight, n, y in counted))})
 
 
+@trimmed
 def _learn(batches):
     rows = [r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
     yield pa.RecordBatch.from_arrays([pa.array([_lexicon(rows)])], names=["model"])
@@ -163,11 +165,8 @@ def _hits(found, text: str) -> tuple[float, int]:
 
 def _scorer(model: str):
     """text -> (score, weight of what was found)."""
-    cache = worker_cache()
-    if cache.get("toxicity_key") != model:
-        known = json.loads(model)
-        cache["toxicity"], cache["toxicity_key"] = (_automaton(known["entries"]), known["rate"]), model
-    found, rate = cache["toxicity"]
+    known = json.loads(model)
+    found, rate = _automaton(known["entries"]), known["rate"]
 
     def score(text: str | None) -> tuple[float, float]:
         weight, words = _hits(found, text or "")
@@ -184,7 +183,7 @@ def _score(model: str):
             scores, weights = zip(*[score(t.as_py()) for t in batch.column(1)]) if batch.num_rows else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(scores, pa.float64()), pa.array(weights, pa.float64())], names=["doc_id", "held_out", "score", "weight"])
 
-    return run
+    return trimmed(run)
 
 
 def _passes(model: str, column: int, most: float):
@@ -193,12 +192,13 @@ def _passes(model: str, column: int, most: float):
         for batch in batches:
             yield batch.filter(pa.array([score(t.as_py())[0] < most for t in batch.column(column)], pa.bool_()))
 
-    return run
+    return trimmed(run)
 
 
 def learn_lexicon(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> str:
     """A lexicon as JSON, learned from about `sample_rows` labelled rows at most. Without labels: the given words.
     A document with several labels is toxic if one says so; null labels and null ids are left out."""
+    bounded_batches(df.sparkSession)
     known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(F.col(label_col)).alias("_y")).where("_id IS NOT NULL")
     sample = hash_sample(known, "_id", sample_rows, known.count())
     rows = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text")).join(sample, "_id").select("text", F.col("_y").cast("int").alias("y"))
@@ -211,10 +211,12 @@ def toxicity_scores(df: DataFrame, model: str, id_col: str = "doc_id", text_col:
 
     The score is r / (r + r0): r the weight found per word, r0 the rate learned. Defined cases: null and empty texts
     score 0; a null id is not held out; equal rows are scored alike; other columns are not looked at."""
+    bounded_batches(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), is_held_out(id_col).alias("held_out"))
     return docs.mapInArrow(_score(model), "doc_id long, held_out boolean, score double, weight double")
 
 
 def toxicity_filter(df: DataFrame, model: str, text_col: str = "text", most: float = 0.5) -> DataFrame:
     """The rows of df that score less than `most`; all columns stay. The score is taken within the row's own task."""
+    bounded_batches(df.sparkSession)
     return df.mapInArrow(_passes(model, df.columns.index(text_col), most), df.schema)

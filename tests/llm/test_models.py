@@ -18,9 +18,24 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 @pytest.fixture(scope="module")
-def merges():
+def ranks():
     with open(RANKS, "rb") as f:
-        return Merges(read_ranks(f.read()))
+        return read_ranks(f.read())
+
+
+@pytest.fixture(scope="module")
+def merges(ranks):
+    return Merges(ranks)
+
+
+def by_definition(ranks, piece):
+    parts = [bytes([b]) for b in piece]
+    while len(parts) > 1:
+        best, i = min((ranks.get(parts[i] + parts[i + 1], 1 << 40), i) for i in range(len(parts) - 1))
+        if best == 1 << 40:
+            break
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return [ranks[p] for p in parts]
 
 
 @pytest.fixture(scope="module")
@@ -34,15 +49,25 @@ def library():
 
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet="abc \néß日😀1!'", min_size=1, max_size=40), min_size=1, max_size=20))
-def test_replay_is_the_definition(merges, pieces):
+def test_replay_is_the_definition(ranks, merges, pieces):
     raw = [p.encode() for p in pieces]
     ids, first = merges.replay(raw)
     for i, piece in enumerate(raw):
-        assert ids[first[i] : first[i + 1]].tolist() == merges.alone(piece)
-    out, _ = Tokens(merges.ranks).decode(ids)
+        want = by_definition(ranks, piece)
+        assert ids[first[i] : first[i + 1]].tolist() == want
+        assert merges.alone(piece) == want
+    out, _ = Tokens(ranks).decode(ids)
     assert out.tobytes() == b"".join(raw)
 
 
+def test_long_pieces(merges, library):
+    """A piece of a whole text's length takes no more than its length and a logarithm."""
+    for piece in ("a" * 30_000, "ab" * 9_000 + "c", "日本" * 4_000, "".join(chr(97 + i * i % 26) for i in range(20_000))):
+        want = library.encode_ordinary(piece)
+        ids, _ = merges.replay([piece.encode()])
+        assert ids.tolist() == want and merges.alone(piece.encode()) == want
+
+
 def test_encode_is_the_librarys(docs, corpus, library):
     rows = decode(encode(docs, RANKS, public_tokenizers.PATTERN), RANKS).collect()
     got = sorted((str(r.doc_id), bytes(r.tokens), bytes(r.bytes)) for r in rows)
