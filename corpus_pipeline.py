@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.llm.byte_bpe import decode, encode
-from corpuslens.llm.common import materialise
+from corpuslens.llm.common import materialise, release_scratch, scratch_tables
 from corpuslens.llm.jaccard_join import jaccard_keep_one
 from corpuslens.llm.mixing import mix_sources
 from corpuslens.llm.queries import training_rows, vocabulary
@@ -16,17 +18,39 @@ from corpuslens.llm.toxicity import learn_lexicon, toxicity_filter
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+#: Tables that the last stage has written for itself.
+_LEFT: list[str] = []
+
+
+def _stage(f):
+    """A stage's result is written and reread as the next one's docs; what it needed for that goes when the next begins
+    (but not what docs read themselves)."""
+
+    @functools.wraps(f)
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release_scratch(spark, _LEFT, unless_read_by=docs)
+        others = {t for t in scratch_tables() if t not in _LEFT}
+        out = f(spark, docs, sf_dir)
+        _LEFT[:] = [t for t in scratch_tables() if t not in others]
+        return out
+
+    return stage
+
+
+@_stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the lexicon rejects go."""
     model = learn_lexicon(docs, training_rows(spark, sf_dir, "labels"))
     return toxicity_filter(docs.select(*COLUMNS), model)
 
 
+@_stage
 def keep_one_of_alike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8 or more) the smallest id stays."""
     return jaccard_keep_one(docs.select(*COLUMNS), k=5, percent=80)
 
 
+@_stage
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that occur earlier go out of the texts; documents of which nothing is left, though they had words, go."""
     out = substring_dedup(docs, carry=("doc_id", "lang", "source", "n_chars")).where("n_removed = 0 OR n_removed < n_words")
@@ -34,12 +58,14 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return out.select("row.doc_id", "text", "row.lang", "row.source", n_chars.alias("n_chars"))
 
 
+@_stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: not at all, once or twice."""
     taken = mix_sources(docs, carry=tuple(COLUMNS)).where("copies > 0")
     return taken.select("row.*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 
+@_stage
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of every document, and whether they decode to its text."""
     ranks, pattern = vocabulary()
