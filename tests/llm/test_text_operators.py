@@ -42,6 +42,34 @@ def test_substring_dedup(docs, corpus, window):
     assert sorted(got, key=lambda r: (null_last(r[0]), r[3])) == brute_substrings([r[:2] for r in corpus], window)
 
 
+@pytest.mark.parametrize("window", [20, 5])
+def test_substring_factors(docs, corpus, window):
+    """Every factor has the words of its source, which is earlier, and ends where the source goes on otherwise, the text
+    ends, or the next factor begins."""
+    text = {d: words(t) for d, t, *_ in corpus}
+    first = {}
+    for d in sorted(text, key=null_last):
+        for i in range(len(text[d]) - window + 1):
+            first.setdefault(tuple(text[d][i : i + window]), (d, i))
+    n = 0
+    for r in substring_dedup(docs, window=window).where("doc_id IS NOT NULL").collect():
+        w, covered, end = text[r.doc_id], [], -1
+        for f in r.factors:
+            assert f.start >= end and f.words > 0
+            source = text[f.source_id]
+            assert w[f.start : f.start + f.words] == source[f.source_start : f.source_start + f.words]
+            assert (null_last(f.source_id), f.source_start) < (null_last(r.doc_id), f.start)
+            end = f.start + f.words
+            after = tuple(w[end - window + 1 : end + 1])
+            follows = any(g.start == end for g in r.factors)
+            assert follows or end == len(w) or first[after] == (r.doc_id, end - window + 1)
+            covered += range(f.start, end)
+            n += 1
+        assert covered == [i for s in r.spans for i in range(s.start, s.start + s.words)]
+        assert len(covered) == r.n_removed
+    assert n > 20
+
+
 def test_substring_spans_and_repeated_rows(spark):
     df = spark.createDataFrame([(1, "a " * 30), (1, "a " * 30), (2, "x y"), (3, "a " * 25)], "doc_id long, text string")
     rows = {(r.doc_id, r.n_removed, tuple(tuple(s) for s in r.spans)) for r in substring_dedup(df).collect()}
