@@ -43,14 +43,21 @@ def scratch_dir(spark: SparkSession) -> str:
     return path
 
 
-def release_scratch(spark: SparkSession) -> None:
-    """Delete the tables that this process has written so far: when no result that reads them is needed any more."""
+def release_scratch(spark: SparkSession, paths: list[str] | None = None, unless_read_by: DataFrame | None = None) -> None:
+    """Delete tables that this process has written (all so far, or those given): when no result that reads them is needed
+    any more. Those that `unless_read_by` reads stay."""
+    needed = {p for p in _SCRATCH if any(p.split("/")[-1] in f for f in unless_read_by.inputFiles())} if unless_read_by is not None else set()
     hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
-    while _SCRATCH:
-        path = hadoop(_SCRATCH.pop())
+    for p in [p for p in _SCRATCH if (paths is None or p in paths) and p not in needed]:
+        _SCRATCH.remove(p)
+        path = hadoop(p)
         path.getFileSystem(conf).delete(path, True)
 
 
+def scratch_tables() -> list[str]:
+    return list(_SCRATCH)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: lineage is cut, and a lost executor loses nothing."""
     path = scratch_dir(df.sparkSession)

@@ -42,16 +42,26 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget:
     return ranked.select("source", "source_size", F.least(F.col("cap"), F.coalesce(final * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def _running(rows: DataFrame, keys: list[str], bucket: str, order: list[Column | str], value: str, name: str) -> DataFrame:
-    """rows with name = sum of value up to and with the row, in the order of bucket, then order, for each of keys."""
+def _running(rows: DataFrame, keys: list[str], bucket: str, order: list[Column | str], value: str, name: str, most: float | None = None) -> DataFrame:
+    """rows with name = sum of value up to and with the row, in the order of bucket, then order, for each of keys. Rows
+    of buckets that begin beyond `most` are left out before anything is sorted."""
     sums = rows.groupBy(*keys, bucket).agg(F.sum(value).alias("_sum"))
     over = Window.partitionBy(*(keys or [F.lit(1)])).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(over), F.lit(0))).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(bucket).alias("_bucket"), "_before")
+    if most is not None:
+        sums = sums.where(F.col("_before") <= most)
     same = F.col(bucket) == F.col("_bucket")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
     inner = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("_own", F.sum(value).over(inner)).join(sums, same).withColumn(name, F.col("_own") + F.col("_before")).drop("_own", "_before", "_bucket", *[f"_{k}" for k in keys])
+    return rows.join(sums, same).withColumn("_own", F.sum(value).over(inner)).withColumn(name, F.col("_own") + F.col("_before")).drop("_own", "_before", "_bucket", *[f"_{k}" for k in keys])
+
+
+def _slot(buckets: int) -> Column:
+    """Slots of finish times: `buckets` to a unit up to 4, beyond that 64 to a doubling. By then the budget is spent unless
+    most sources have no more to give."""
+    late = 4 * buckets + F.floor(F.log2(F.greatest("finish", F.lit(4.0)) / 4) * 64)
+    return F.when(F.col("finish") < 4, F.floor(F.col("finish") * buckets)).otherwise(late)
 
 
 def mix_sources(
@@ -89,9 +99,10 @@ def mix_sources(
     placed = placed.join(t, F.col("source").eqNullSafe(F.col("_source"))).where("target > 0")
     turns = placed.withColumn("turn", F.explode(F.array(*[F.lit(i) for i in range(passes)])))
     turns = turns.withColumn("finish", (F.col("turn") * F.col("source_size") + F.col("up_to")) / F.col("target"))
-    turns = turns.select("did", "h", "size", "source", "turn", "finish", F.floor(F.least("finish", F.lit(4.0)) * buckets).alias("slot"))
-    lined = _running(turns, [], "slot", ["finish", "source", "h", "did", "turn"], "size", "words")
+    turns = turns.select("did", "h", "size", "source", "turn", "finish", _slot(buckets).alias("slot"))
     limit = targets.agg(F.sum("target")).first()[0] or 0.0
+    longest = docs.agg(F.max("size")).first()[0] or 0
+    lined = _running(turns, [], "slot", ["finish", "source", "h", "did", "turn"], "size", "words", limit + longest / 2)
     # the document across the end of the budget goes in if half of it lies before
     taken = lined.where(F.col("words") - F.col("size") / 2 <= limit)
     copies = taken.groupBy("h", "did").agg(F.count("*").alias("n"))
