@@ -66,6 +66,25 @@ def test_near_duplicates(vectors):
     assert near_duplicate_vectors(df.limit(0)).count() == 0
 
 
+def test_recall_of_planted_links(spark):
+    """Pairs at a cosine of 0.95 to 0.96 among many vectors without links: nine of ten found at least, nothing else; a
+    crowd of near copies in more than one block has all its links."""
+    rng = np.random.default_rng(5)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    x = unit(rng.normal(size=(6000, 64)))
+    side = unit(rng.normal(size=(600, 64)))
+    side = unit(side - (side * x[:600]).sum(axis=1, keepdims=True) * x[:600])
+    cosine = rng.uniform(0.9505, 0.96, size=(600, 1))
+    crowd = unit(x[5999] + 0.01 * rng.normal(size=(1500, 64)))
+    vectors = np.concatenate([x, cosine * x[:600] + np.sqrt(1 - cosine**2) * side, crowd])
+    df = spark.createDataFrame([(i, v.tolist(), "clash") for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, cid string")
+    got = {r.vec_id: r for r in near_duplicate_vectors(df).collect()}
+    found = sum(got[6000 + i].component_id == i for i in range(600))
+    assert found >= 0.9 * 600
+    assert all(got[i].n_links == 0 for i in range(600, 5999))
+    assert all(got[i].n_links == 1500 and got[i].component_id == 5999 for i in [5999, *range(6600, 8100)])
+
+
 def test_components(spark):
     links = [(1, 2), (3, 2), (9, 8), (8, 7), (7, 6), (5, 5), (2, 1)] + [(100, i) for i in range(101, 140)]
     got = dict(connected_components(spark.createDataFrame(links, "a long, b long")).collect())
