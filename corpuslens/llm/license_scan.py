@@ -1,100 +1,164 @@
-"""Licence notices in texts, with DataFrame functions only: MinHash bands over overlapping windows retrieve templates,
+"""Licence notices in texts, with DataFrame functions only: MinHash bands over overlapping text windows retrieve templates,
 exact containment of their shingles verifies them.
 
-A text is a row of shingles (five words, lower case, without ASCII signs). Windows of WINDOW shingles begin at every
-shingle; a window's MinHash under a permutation is the least hash of its shingles, a band is a few of them. Templates
-are cut into the same windows. If a passage holds a share of CONTAINMENT of a template's m shingles, at most
-(1 - CONTAINMENT) * m are missing, so what is left holds WINDOW neighbours in a row for every m (2 for m >= 2; templates
-of one shingle have windows of one): that window equals one of the template's, and equal windows agree in every band.
-So the chance that the bands meet is 1 for whatever passes verification; passages changed more meet by similarity.
+A text is a row of shingles (five words, lower case, without ASCII signs), each hashed once. Windows of WINDOW shingles
+begin at every STEP-th one, so each overlaps the next by half; a window's MinHash under a permutation is the least of its
+shingles' hashes under that permutation (an exclusive or with a fixed number), and a band is ROWS of them. Templates are
+cut into windows at every shingle, so whatever place a passage begins at, some window of it has its like in the template:
+with the Jaccard similarity J of the two, one band at least meets with a probability of 1 - (1 - J ** ROWS) ** BANDS: 1 for
+an unchanged window, 0.999 at 0.75 and 0.97 at 0.6; and a notice has several windows. Templates of less than LEAST
+shingles have no window of this size and are retrieved by any shingle (windows of one, whose MinHash is the shingle).
 
-The bands of all templates are a small table (a few rows a template) that is broadcast.
+Retrieved pairs of a text and a template are verified on the whole text: the share of the template's shingles that a passage
+of twice its length holds. The bands of all templates are a small table (some rows a template word) that is broadcast.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words of a shingle; share of a template's shingles that a passage must hold; bands and rows of a band.
-SHINGLE, CONTAINMENT, BANDS, ROWS = 5, 0.8, 2, 2
+from .common import materialise
+
+#: Words of a shingle; share of a template's shingles that a passage must hold.
+SHINGLE, CONTAINMENT = 5, 0.8
+#: Shingles of a window, and between the beginnings of two; bands and rows of a band.
+WINDOW, STEP, BANDS, ROWS = 8, 4, 8, 2
+#: Shingles that a template needs for windows: so many that one beginning at a STEP lies within it, and one change too.
+LEAST = WINDOW + STEP + SHINGLE
 _SIGNS = r"[\x00-/:-@\[-`{-\x7F]+"
 
+#: Texts with a notice that are broadcast at most (some 60 bytes each).
+BROADCAST_ROWS = 100_000
+
 #: Notices by licence: fixed texts.
 TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "MIT-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
+    "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
+    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+    "GPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "LGPL-2.1-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "AGPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "MPL-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "BSD-3-Clause-text": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "CC0-1.0": "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this work to the public domain worldwide.",
 }
 
 
-def _shingle(words: Column, i: Column) -> Column:
-    """The hash of the words from i on; elements are taken one by one, as slice() copies the whole array."""
-    return F.xxhash64(*[F.get(words, i + j) for j in range(SHINGLE)])
+def _masks() -> list[int]:
+    """A fixed number for each permutation."""
+    out, x = [], 0x243F6A8885A308D3
+    for _ in range(BANDS * ROWS):
+        x = (x * 6364136223846793005 + 1442695040888963407) % (1 << 64)
+        out.append(x - (1 << 63))
+    return out
 
 
-def _keys(own: Column, following: Column) -> list[Column]:
-    """The hashes of the bands of the windows of one and of two shingles. A window of one is its own least, so it has
-    one band; a window that would reach beyond the text has one shingle only."""
-    row = lambda seed: F.least(F.xxhash64(own, F.lit(seed)), F.xxhash64(following, F.lit(seed)))
-    return [F.xxhash64(own, F.lit(1))] + [F.xxhash64(*[row(100 * b + r) for r in range(ROWS)], F.lit(2 + b)) for b in range(BANDS)]
+def _words_of(text: Column) -> Column:
+    return F.array_remove(F.split(F.lower(text), _SIGNS), "")
 
 
-def template_bands(spark, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """(license, m, shingles, key): a row for every band of every window of a template; templates of fewer words than a
-    shingle are left out. The table is collected and made again: it is as small as the templates."""
-    texts = spark.createDataFrame(sorted(templates.items()), "license string, text string").select("license", _words_of(F.col("text")).alias("words"))
-    starts = texts.select("license", "words", F.explode_outer(_starts(F.col("words"))).alias("i"))
-    hashed = starts.select("license", "i", _shingle(F.col("words"), F.col("i")).alias("h"), _shingle(F.col("words"), F.col("i") + 1).alias("h1"))
-    found = hashed.select("license", "i", "h", *[k.alias(f"k{n}") for n, k in enumerate(_keys(F.col("h"), F.col("h1")))]).collect()
-    shingles: dict[str, list[int]] = {}
-    for r in found:
-        if r["i"] is not None and r["h"] not in shingles.setdefault(r["license"], []):
-            shingles[r["license"]].append(r["h"])
-    rows = {}
-    for r in found:
-        h = shingles.get(r["license"])
-        for key in [r["k0"]] if h and len(h) == 1 else [r[f"k{n + 1}"] for n in range(BANDS)] if h else []:
-            rows[r["license"], key] = (r["license"], len(h), h, key)
-    return spark.createDataFrame([rows[k] for k in sorted(rows)], "license string, m int, shingles array<long>, key long")
+def _shingles(words: Column) -> Column:
+    """The hashes of all shingles; null if there is none. Elements are taken one by one, as slice() copies the array."""
+    starts = lambda w: F.sequence(F.lit(0), F.size(w) - SHINGLE)
+    hashed = lambda w: F.transform(starts(w), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(SHINGLE)]))
+    return _let(words, lambda w: F.when(F.size(w) >= SHINGLE, hashed(w)))
 
 
-def _words_of(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(text), _SIGNS), "")
+def _bands(shingles: Column, at: Column) -> list[Column]:
+    """The hashes of the bands of the window that begins at a shingle; a window that would reach beyond the text takes its
+    last shingle for what is missing."""
+    last = F.size(shingles) - 1
+    own = [F.get(shingles, F.least(at + j, last)) for j in range(WINDOW)]
+    least = [F.least(*[h.bitwiseXOR(F.lit(m)) for h in own]) for m in _masks()]
+    return [F.xxhash64(*least[b * ROWS : (b + 1) * ROWS], F.lit(2 + b)) for b in range(BANDS)]
+
+
+def _let(value: Column, f) -> Column:
+    """f(value), with value computed once: as a column of its own Catalyst would put it in wherever f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _single(shingle: Column) -> Column:
+    return F.xxhash64(shingle, F.lit(1))
 
 
-def _starts(words: Column) -> Column:
-    """Where shingles begin; null if nowhere."""
-    return F.when(F.size(words) >= SHINGLE, F.sequence(F.lit(0), F.greatest(F.size(words) - SHINGLE, F.lit(0))))
+def template_bands(spark, templates: dict[str, str] = TEMPLATES) -> tuple[DataFrame, DataFrame]:
+    """(key, license) for every band of every window of the templates, and (license, m, shingles): their distinct shingles.
+    Templates of fewer words than a shingle are left out. Both are collected and made again: as small as the templates."""
+    texts = spark.createDataFrame(sorted(templates.items()), "license string, text string").select("license", _shingles(_words_of(F.col("text"))).alias("s")).where("s IS NOT NULL")
+    starts = texts.select("license", "s", F.explode(F.sequence(F.lit(0), F.size("s") - 1)).alias("i"))
+    keys = F.when(F.size("s") < LEAST, F.array(_single(F.get("s", F.col("i"))))).when(F.col("i") <= F.size("s") - WINDOW, F.array(*_bands(F.col("s"), F.col("i"))))
+    bands = starts.select("license", F.explode(keys).alias("key")).distinct().collect()
+    shingles = [(r["license"], len(r["s"]), r["s"]) for r in texts.select("license", F.array_distinct("s").alias("s")).collect()]
+    return (
+        spark.createDataFrame(sorted((r["key"], r["license"]) for r in bands), "key long, license string"),
+        spark.createDataFrame(sorted(shingles), "license string, m int, shingles array<long>"),
+    )
 
 
 def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
-    """(doc_id, license, containment, at): the licences whose notice a text holds, the share of the notice's shingles in
-    the best passage (twice the notice's length around a window), and the word at which its first window begins.
+    """(doc_id, license, containment, at): the licences whose notice a text holds, the share of the notice's distinct
+    shingles in the best passage (as many shingles as twice the notice's, from one of its shingles on), and the number of
+    the word at which the first passage with a share of `containment` begins.
 
-    Defined cases: null, empty and short texts hold nothing; equal rows give equal rows once; a null id is kept as null;
-    other columns are not looked at. Templates are few: their bands are broadcast."""
+    Defined cases: null, empty and short texts hold nothing; equal rows give equal rows, each its own; a null id is kept as
+    null; very long texts are scanned whole; of notices that contain one another a text may hold several; other columns
+    are not looked at. Templates are few: their bands are broadcast."""
     spark = df.sparkSession
-    bands = template_bands(spark, templates)
-    # a row for every window and band, made, looked up and dropped again within one stage of generated code; the outer
-    # explosion is so since the filter that Catalyst derives from an inner one would split every text twice
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), _words_of(F.col(text_col).cast("string")).alias("words"))
-    windows = docs.select("doc_id", "words", F.explode_outer(_starts(F.col("words"))).alias("at"))
-    windows = windows.select("doc_id", "words", "at", _shingle(F.col("words"), F.col("at")).alias("h"), _shingle(F.col("words"), F.col("at") + 1).alias("h1"))
-    keyed = windows.select("doc_id", "words", "at", F.explode(F.array(*_keys(F.col("h"), F.col("h1")))).alias("key"))
-    found = keyed.join(F.broadcast(bands), "key").where("at IS NOT NULL")
-    passage = F.transform(F.sequence(F.greatest(F.col("at") - F.col("m"), F.lit(0)), F.col("at") + F.col("m") + 1), lambda i: _shingle(F.col("words"), i))
-    share = F.size(F.array_intersect(passage, "shingles")) / F.col("m")
-    # the share is compared after the aggregate: as a filter below it would become a condition of the join, and an
-    # expression without generated code there would take the join, and with it every window, out of its stage
-    passes = F.col("share") >= containment
-    found = found.select("doc_id", "license", "at", share.alias("share")).groupBy("doc_id", "license")
-    found = found.agg(F.max("share").alias("containment"), F.min(F.when(passes, F.col("at"))).cast("long").alias("at"))
-    return found.where(F.col("containment") >= containment)
+    bands, known = template_bands(spark, templates)
+    texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = texts.withColumn("key", F.xxhash64("text"))
+    # a row for every window and band, made, looked up and dropped again within one stage; the outer explosion is so since
+    # the filter that Catalyst derives from an inner one would hash every text twice
+    windows = texts.select("doc_id", "key", _shingles(_words_of(F.col("text"))).alias("s"))
+    windows = windows.select("doc_id", "key", "s", F.explode_outer(F.sequence(F.lit(0), F.size("s") - 1)).alias("at"))
+    single = _single(F.get("s", F.col("at")))
+    banded = F.when(F.col("at") % STEP == 0, F.array(single, *_bands(F.col("s"), F.col("at")))).otherwise(F.array(single))
+    keyed = windows.select("doc_id", "key", "at", F.explode(banded).alias("band"))
+    found = keyed.join(F.broadcast(bands.withColumnRenamed("key", "band")), "band").where("at IS NOT NULL").select("doc_id", "key", "license").distinct()
+    found = materialise(found.groupBy("doc_id", "key").agg(F.collect_set("license").alias("licenses")))  # of few templates
+    # back to the texts: few hold a notice, as a rule, and then go to all; if many do, both sides are dealt out
+    hint = F.broadcast if found.count() <= BROADCAST_ROWS else lambda x: x
+    holds = texts.alias("t").join(hint(found).alias("f"), F.col("t.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("t.key") == F.col("f.key")))
+    pairs = holds.select("t.doc_id", _shingles(_words_of(F.col("text"))).alias("s"), F.explode("licenses").alias("license")).join(F.broadcast(known), "license")
+    # the passages: from every shingle of the template's on
+    places = F.filter(F.transform("s", lambda h, i: F.when(F.array_contains("shingles", h), F.struct(i.alias("i"), h.alias("h")))), lambda x: x.isNotNull())
+    inside = lambda p, x: F.filter(p, lambda y: (y["i"] >= x["i"]) & (y["i"] < x["i"] + 2 * F.col("m")))
+    share = lambda p, x: F.size(F.array_distinct(F.transform(inside(p, x), lambda y: y["h"]))) / F.col("m")
+    shares = _let(places, lambda p: F.transform(p, lambda x: F.struct(share(p, x).alias("share"), x["i"].alias("i"))))
+    best = _let(shares, lambda p: F.struct(F.array_max(F.transform(p, lambda x: x["share"])).alias("containment"), F.array_min(F.transform(F.filter(p, lambda x: x["share"] >= containment), lambda x: x["i"])).cast("long").alias("at")))
+    passing = pairs.select("doc_id", "license", F.explode(F.filter(F.array(best), lambda r: r["containment"] >= containment)).alias("r"))
+    return passing.select("doc_id", "license", "r.containment", "r.at")
+
+
+def scan_sql(templates: dict[str, str] = TEMPLATES, containment: float = CONTAINMENT) -> str:
+    """The definition of the result in SQL: every text against every template, without retrieval."""
+    quoted = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted(templates.items()))
+    words = lambda c: f"list_filter(string_split_regex(lower({c}), '{_SIGNS}'), lambda w: w <> '')"
+    shingle = " || ' ' || ".join(f"w[i + {j}]" if j else "w[i]" for j in range(SHINGLE))
+    rows = lambda table, columns: f"SELECT {columns}, i - 1 AS i, {shingle} AS g FROM (SELECT {columns}, w, unnest(range(1, len(w) - {SHINGLE - 2})) AS i FROM {table})"
+    sql = f"""
+WITH t AS (SELECT license, {words("text")} AS w FROM (VALUES {quoted}) v(license, text)),
+notices AS MATERIALIZED (SELECT DISTINCT license, g FROM ({rows("t", "license")})),
+sizes AS (SELECT license, count(*) AS m FROM notices GROUP BY license),
+d AS (SELECT row_number() OVER () AS r, doc_id, {words("text")} AS w FROM documents),
+hits AS MATERIALIZED (SELECT r, doc_id, license, i, g FROM ({rows("d", "r, doc_id")}) JOIN notices USING (g)),
+shares AS (SELECT a.r, a.doc_id, a.license, a.i, count(DISTINCT b.g) / any_value(m) AS share FROM hits a JOIN sizes USING (license)
+  JOIN hits b ON b.r = a.r AND b.license = a.license AND b.i >= a.i AND b.i < a.i + 2 * m GROUP BY ALL)
+SELECT any_value(doc_id)::BIGINT AS doc_id, license, max(share) AS containment, (min(i) FILTER (share >= {containment}))::BIGINT AS "at" FROM shares GROUP BY r, license HAVING max(share) >= {containment}"""
+    return re.sub(r"\n\s*", " ", sql).strip()

@@ -12,7 +12,7 @@ from .byte_bpe import decode, encode
 from .embedding_dedup import near_duplicate_vectors
 from .jaccard_join import jaccard_components
 from .language_ppm import identify_language, train_languages
-from .license_scan import scan_licenses
+from .license_scan import scan_licenses, scan_sql
 from .mixing import mix_sources
 from .quality import quality_scores, train_quality
 from .substring_dedup import substring_dedup
@@ -130,4 +130,5 @@ pairs AS MATERIALIZED (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN
 links AS MATERIALIZED (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
 walk AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT walk.a, links.b FROM walk JOIN links ON links.a = walk.b)
 SELECT walk.a AS doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(b)::BIGINT AS component_id FROM walk LEFT JOIN sizes ON sizes.doc_id = walk.a GROUP BY walk.a""",
+    "op6_license_scan": scan_sql(),
 }
