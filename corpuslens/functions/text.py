@@ -72,9 +72,17 @@ def average_token_length(text: Column) -> Column:
     return F.when(n > 0, count_characters(text) / n).otherwise(F.lit(0.0))
 
 
+def _words(text: Column) -> Column:
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+")
+
+
+def _among(tokens_: Column, words: list[str]) -> Column:
+    return F.size(F.filter(tokens_, lambda t: t.isin(*words)))
+
+
 def stopword_hits(text: Column, words: list[str]) -> Column:
     """How many tokens (lower case, letters and digits) are in the list."""
-    return F.size(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda t: t.isin(*words)))
+    return _among(_words(text), words)
 
 
 def vote_language(hits: dict[str, Column], primary: Column) -> Column:
@@ -88,7 +96,10 @@ def vote_language(hits: dict[str, Column], primary: Column) -> Column:
 
 
 def stopword_vote(text: Column, primary: Column) -> Column:
-    return vote_language({lang: stopword_hits(text, words) for lang, words in STOPWORDS.items()}, primary)
+    # the words as an element of an array, so that the text is split once and not for each language
+    counted = F.transform(F.array(_words(text)), lambda w: F.struct(*[_among(w, own).alias(lang) for lang, own in STOPWORDS.items()]))
+    voted = F.transform(counted, lambda n: vote_language({lang: n[lang] for lang in STOPWORDS}, primary))
+    return F.get(voted, F.lit(0))
 
 
 def decide_language(probabilities: Column, n_tokens: Column, text: Column, short: int = 15, high: float = 0.95, normal: float = 0.85, vote_below: float = 0.99) -> Column:

@@ -35,6 +35,7 @@ class Pipeline:
     out: str
     config: Config = field(default_factory=Config)
     steps: dict[str, Step] = field(default_factory=lambda: dict(STEPS))
+    corpus: str = field(default="", init=False)  # of the last run
 
     def order(self, wanted: list[str] | None = None) -> list[str]:
         """The steps wanted and all that they need, each after its needs; an unknown name or a circle is an error."""
@@ -56,7 +57,13 @@ class Pipeline:
         return done
 
     def _stamp(self, name: str) -> str:
-        return hashlib.sha256(json.dumps([name, asdict(self.config)], default=str, sort_keys=True).encode()).hexdigest()[:16]
+        """A table's name, by step, settings and the corpus."""
+        return hashlib.sha256(json.dumps([name, asdict(self.config), self.corpus], default=str, sort_keys=True).encode()).hexdigest()[:16]
+
+    def _digest(self, reviews: DataFrame) -> str:
+        """Rows and a sum of their hashes, in any order: another corpus in the same folder has tables of its own."""
+        hashed = reviews.select(F.xxhash64(*[F.col(c).cast("string") for c in reviews.columns]).alias("h"))
+        return str(hashed.agg(F.count("*"), F.sum(F.col("h").cast("decimal(20,0)"))).first())
 
     def path(self, name: str) -> str:
         return f"{self.out}/{name}/{self._stamp(name)}"
@@ -66,6 +73,7 @@ class Pipeline:
 
     def run(self, reviews: DataFrame, wanted: list[str] | None = None, force: bool = False) -> dict[str, DataFrame]:
         """The tables of the steps wanted. A failing step stops those that need it, and is raised at the end."""
+        self.corpus = self._digest(reviews)
         tables, failed = {"reviews": reviews}, {}
         for name in self.order(wanted):
             step = self.steps[name]

@@ -509,6 +509,40 @@ def outlier_votes(spark, d):
     return votes(_table(spark, d, "embeddings"), "vec_id", "embedding")
 
 
+@query()
+def isolation_forest_scores(spark, d):
+    from ..operators.outliers import isolation_forest
+
+    return isolation_forest(_table(spark, d, "embeddings"), "vec_id", "embedding")
+
+
+@query()
+def ocsvm_scores(spark, d):
+    from ..operators.outliers import one_class_svm
+
+    return one_class_svm(_table(spark, d, "embeddings"), "vec_id", "embedding")
+
+
+@query()
+def robust_sentiment(spark, d):
+    from ..operators.analysis import robust_sentiment as robust
+
+    return robust(_table(spark, d, "embeddings"), "vec_id", "embedding", "label")
+
+
+@query()
+def language_profile_detection(spark, d):
+    from ..functions.text import count_tokens, decide_language
+    from ..operators.analysis import detect_language, language_profiles
+
+    documents = _documents(spark, d)
+    profiles: dict[str, list[str]] = {}
+    for r in language_profiles(documents, "text", "lang").orderBy("lang", "rank").collect():  # 300 rows a language
+        profiles.setdefault(r["lang"], []).append(r["gram"])
+    found = documents.select("doc_id", "text").join(detect_language(documents, "doc_id", "text", profiles).withColumnRenamed("id", "doc_id"), "doc_id")
+    return found.select("doc_id", decide_language(F.col("probabilities"), count_tokens(F.col("text")), F.col("text")).alias("language"))
+
+
 @query()
 def lof_scores(spark, d):
     from ..operators.outliers import local_outlier_factor
@@ -526,7 +560,17 @@ def outlier_summary(spark, d):
     return summary(vote(flags, ["outlier_a", "outlier_b", "outlier_c"]))
 
 
-@query()
+def _lexicon_sql() -> str:
+    from ..operators.analysis import BAD, GOOD
+
+    count = lambda words: f"len(list_filter(w, lambda t: list_contains({[*words]!r}, t)))"
+    return rf"""WITH w AS (SELECT doc_id, string_split_regex(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}_]+') AS w FROM documents),
+h AS (SELECT doc_id, {count(GOOD)} AS good, {count(BAD)} AS bad FROM w)
+SELECT doc_id, CASE WHEN good > bad THEN 'positivo' WHEN bad > good THEN 'negativo' ELSE 'neutro' END AS label,
+  CASE WHEN good + bad > 0 THEN greatest(good, bad)::DOUBLE / (good + bad) ELSE 0.0::DOUBLE END AS confidence FROM h"""
+
+
+@query(_lexicon_sql())
 def lexicon_sentiment(spark, d):
     from ..operators.analysis import lexicon_sentiment as scored
 

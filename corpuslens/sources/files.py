@@ -31,9 +31,14 @@ LINGUISTIC = T.StructType(
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """df as files in the folder of spark.checkpoint.dir, which all executors share (a local one where it is unset)."""
+    """df as files in the folder of spark.checkpoint.dir, which all executors share (a local one where it is unset and all
+    executors are in this machine's one process)."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/corpuslens-scratch"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"file://{tempfile.gettempdir()}/corpuslens-scratch"
     path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

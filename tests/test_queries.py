@@ -22,7 +22,7 @@ def test_same_as_sql(spark, connection, name):
     assert differences(plans.QUERIES[name](spark, FOLDER), plans.ORACLES[name], connection) == []
 
 
-@pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.ORACLES) - {"best_model_per_algorithm"}))
+@pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.ORACLES)))
 def test_runs(spark, name):
     assert plans.QUERIES[name](spark, FOLDER).limit(5).count() > 0
 
