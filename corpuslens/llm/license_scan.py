@@ -79,12 +79,15 @@ def _shingles(words: Column) -> Column:
     return _let(words, lambda w: F.when(F.size(w) >= SHINGLE, hashed(w)))
 
 
-def _bands(shingles: Column, at: Column) -> list[Column]:
-    """The hashes of the bands of the window that begins at a shingle; a window that would reach beyond the text takes its
-    last shingle for what is missing."""
-    last = F.size(shingles) - 1
-    own = [F.get(shingles, F.least(at + j, last)) for j in range(WINDOW)]
-    least = [F.least(*[h.bitwiseXOR(F.lit(m)) for h in own]) for m in _masks()]
+def _windows(shingles: Column, step: int) -> Column:
+    """(at, h0, h1, ...) of the windows that begin at every step-th shingle; null for what lies beyond the last one."""
+    window = lambda s: lambda i: F.struct(i.alias("at"), *[F.get(s, i + j).alias(f"h{j}") for j in range(WINDOW)])
+    return _let(shingles, lambda s: F.transform(F.sequence(F.lit(0), F.size(s) - 1, F.lit(step)), window(s)))
+
+
+def _bands() -> list[Column]:
+    """The hashes of the bands of a window whose shingles are columns; least() passes over what is null."""
+    least = [F.least(*[F.col(f"h{j}").bitwiseXOR(F.lit(m)) for j in range(WINDOW)]) for m in _masks()]
     return [F.xxhash64(*least[b * ROWS : (b + 1) * ROWS], F.lit(2 + b)) for b in range(BANDS)]
 
 
@@ -101,8 +104,8 @@ def template_bands(spark, templates: dict[str, str] = TEMPLATES) -> tuple[DataFr
     """(key, license) for every band of every window of the templates, and (license, m, shingles): their distinct shingles.
     Templates of fewer words than a shingle are left out. Both are collected and made again: as small as the templates."""
     texts = spark.createDataFrame(sorted(templates.items()), "license string, text string").select("license", _shingles(_words_of(F.col("text"))).alias("s")).where("s IS NOT NULL")
-    starts = texts.select("license", "s", F.explode(F.sequence(F.lit(0), F.size("s") - 1)).alias("i"))
-    keys = F.when(F.size("s") < LEAST, F.array(_single(F.get("s", F.col("i"))))).when(F.col("i") <= F.size("s") - WINDOW, F.array(*_bands(F.col("s"), F.col("i"))))
+    starts = texts.select("license", F.size("s").alias("m"), F.inline(_windows(F.col("s"), 1)))
+    keys = F.when(F.col("m") < LEAST, F.array(_single(F.col("h0")))).when(F.col("at") <= F.col("m") - WINDOW, F.array(*_bands()))
     bands = starts.select("license", F.explode(keys).alias("key")).distinct().collect()
     shingles = [(r["license"], len(r["s"]), r["s"]) for r in texts.select("license", F.array_distinct("s").alias("s")).collect()]
     return (
@@ -123,14 +126,17 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bands, known = template_bands(spark, templates)
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     texts = texts.withColumn("key", F.xxhash64("text"))
-    # a row for every window and band, made, looked up and dropped again within one stage; the outer explosion is so since
-    # the filter that Catalyst derives from an inner one would hash every text twice
-    windows = texts.select("doc_id", "key", _shingles(_words_of(F.col("text"))).alias("s"))
-    windows = windows.select("doc_id", "key", "s", F.explode_outer(F.sequence(F.lit(0), F.size("s") - 1)).alias("at"))
-    single = _single(F.get("s", F.col("at")))
-    banded = F.when(F.col("at") % STEP == 0, F.array(single, *_bands(F.col("s"), F.col("at")))).otherwise(F.array(single))
-    keyed = windows.select("doc_id", "key", "at", F.explode(banded).alias("band"))
-    found = keyed.join(F.broadcast(bands.withColumnRenamed("key", "band")), "band").where("at IS NOT NULL").select("doc_id", "key", "license").distinct()
+    # a row for every window, then for every band, made, looked up and dropped again within one stage. Rows of windows carry
+    # their own shingles only: with the text's they would copy the whole array each. The explosions are outer ones since the
+    # filter that Catalyst derives from an inner one would make all it explodes a second time. The higher-order function
+    # keeps the projection of the bands outside the generated stage: there Catalyst cuts it into small methods, within it
+    # one method would grow beyond the size that the JVM compiles
+    windows = texts.select("doc_id", "key", _windows(_shingles(_words_of(F.col("text"))), STEP).alias("ws"))
+    windows = windows.select("doc_id", "key", F.inline_outer("ws"))
+    singles = F.transform(F.array(*[F.col(f"h{j}") for j in range(STEP)]), _single)
+    banded = windows.select("doc_id", "key", singles.alias("singles"), F.array(*_bands()).alias("bands"))
+    keyed = banded.select("doc_id", "key", F.explode_outer(F.concat("singles", "bands")).alias("band"))
+    found = keyed.join(F.broadcast(bands.withColumnRenamed("key", "band")), "band").select("doc_id", "key", "license").distinct()
     found = materialise(found.groupBy("doc_id", "key").agg(F.collect_set("license").alias("licenses")))  # of few templates
     # back to the texts: few hold a notice, as a rule, and then go to all; if many do, both sides are dealt out
     hint = F.broadcast if found.count() <= BROADCAST_ROWS else lambda x: x
@@ -138,9 +144,11 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pairs = holds.select("t.doc_id", _shingles(_words_of(F.col("text"))).alias("s"), F.explode("licenses").alias("license")).join(F.broadcast(known), "license")
     # the passages: from every shingle of the template's on
     places = F.filter(F.transform("s", lambda h, i: F.when(F.array_contains("shingles", h), F.struct(i.alias("i"), h.alias("h")))), lambda x: x.isNotNull())
-    inside = lambda p, x: F.filter(p, lambda y: (y["i"] >= x["i"]) & (y["i"] < x["i"] + 2 * F.col("m")))
-    share = lambda p, x: F.size(F.array_distinct(F.transform(inside(p, x), lambda y: y["h"]))) / F.col("m")
-    shares = _let(places, lambda p: F.transform(p, lambda x: F.struct(share(p, x).alias("share"), x["i"].alias("i"))))
+    # a passage holds 2 * m places at most: those from one on, taken singly, so that the work is linear in the places
+    ahead = lambda p, j: F.transform(F.sequence(j, F.least(j + 2 * F.col("m"), F.size(p)) - 1), lambda k: F.get(p, k))
+    inside = lambda p, x, j: F.filter(ahead(p, j), lambda y: y["i"] < x["i"] + 2 * F.col("m"))
+    share = lambda p, x, j: F.size(F.array_distinct(F.transform(inside(p, x, j), lambda y: y["h"]))) / F.col("m")
+    shares = _let(places, lambda p: F.transform(p, lambda x, j: F.struct(share(p, x, j).alias("share"), x["i"].alias("i"))))
     best = _let(shares, lambda p: F.struct(F.array_max(F.transform(p, lambda x: x["share"])).alias("containment"), F.array_min(F.transform(F.filter(p, lambda x: x["share"] >= containment), lambda x: x["i"])).cast("long").alias("at")))
     passing = pairs.select("doc_id", "license", F.explode(F.filter(F.array(best), lambda r: r["containment"] >= containment)).alias("r"))
     return passing.select("doc_id", "license", "r.containment", "r.at")
