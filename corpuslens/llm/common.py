@@ -54,17 +54,33 @@ def release_scratch(spark: SparkSession, paths: list[str] | None = None, unless_
         path.getFileSystem(conf).delete(path, True)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Delete the scratch tables behind these results of materialise(): nothing that is still to run reads them."""
+    for df in tables:
+        files = df.inputFiles()
+        release_scratch(df.sparkSession, [p for p in _SCRATCH if any(p.split("/")[-1] in f for f in files)])
+
+
 def scratch_tables() -> list[str]:
     return list(_SCRATCH)
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: lineage is cut, and a lost executor loses nothing."""
+    """Write df as Parquet in the shared folder and read it again: lineage is cut, a lost executor loses nothing, and
+    the shuffles that made it go from the executors' disks."""
     path = scratch_dir(df.sparkSession)
     df.write.parquet(path)
+    drop_shuffles(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Spark deletes a shuffle's files once the driver has collected the plan that made them; left to itself that is when
+    its heap is full, by which time the shuffles of all steps lie on the executors' disks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextlib.contextmanager
 def arrow_rows(spark: SparkSession, rows: int):
     """Fewer rows in an Arrow batch while an action runs on wide rows; the setting is put back."""

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NULL_ID, U64, documents, gram_hashes, materialise, public_id, spans_hash, text_chunks, trimmed, word_bounds, word_hashes
+from .common import NULL_ID, U64, documents, forget, gram_hashes, materialise, public_id, spans_hash, text_chunks, trimmed, word_bounds, word_hashes
 
 ANCHOR_WORDS = 6
 #: Of the places where the seed changes every so manieth begins a piece (about; by the seed's hash).
@@ -268,10 +268,14 @@ def _parse(window: int, carried: bool = False):
 
 
 def _earlier(rows: DataFrame, name: str) -> DataFrame:
-    """(did, dk, a list of (at, source's did, source's place)) for the rows (h, did, pk) that stand elsewhere before."""
-    first = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("did").alias("sdid"), F.min_by("pk", "did").alias("spk")).where("n > 1").drop("n")
+    """(did, dk, a list of (at, source's did, source's place)) for the rows (h, did, pk) that stand elsewhere before.
+    Each step is written, so the next one joins tables (hot rows can be split) and shuffles of one step lie on disk at a
+    time; the table `rows` goes at the end."""
+    first = materialise(rows.groupBy("h").agg(F.count("*").alias("n"), F.min("did").alias("sdid"), F.min_by("pk", "did").alias("spk")).where("n > 1").drop("n"))
     copies = rows.join(first, "h").where("did <> sdid OR pk <> spk")
-    return copies.select("did", F.shiftright("pk", _AT).alias("dk"), F.struct(F.col("pk").bitwiseAND(_LOW).cast("int").alias("at"), "sdid", "spk").alias("at")).transform(_gathered, name)
+    places = materialise(copies.select("did", F.shiftright("pk", _AT).alias("dk"), F.struct(F.col("pk").bitwiseAND(_LOW).cast("int").alias("at"), "sdid", "spk").alias("at")).transform(_gathered, name))
+    forget(rows, first)
+    return places
 
 
 def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, carry: tuple[str, ...] = ()) -> DataFrame:
