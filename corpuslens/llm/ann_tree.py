@@ -1,6 +1,7 @@
 """Approximate nearest neighbours by a hierarchical k-means tree, searched best bin first.
 
-The tree is fitted on a bounded sample and every vector is filed under its leaf. A query walks the tree with a priority
+The tree is fitted on a bounded sample, which grows with the root of the table, as its leaves and the vectors in a leaf
+do, and every vector is filed under its leaf. A query walks the tree with a priority
 queue of branches by the distance of their centres and visits leaves until it has visited as many as a calibration on
 the sample asks for the wanted recall, and until those leaves hold enough vectors. Leaves that lie side by side in the
 tree are searched together in bins; a bin of many vectors or queries is split into blocks, so no task holds an unbounded
@@ -10,6 +11,7 @@ part of either.
 from __future__ import annotations
 
 import heapq
+import math
 import pickle
 
 import numpy as np
@@ -20,8 +22,10 @@ from pyspark.sql import functions as F
 from .common import hash_sample, materialise, trimmed
 from .vectors import lists, matrix, usable_vectors
 
-#: Vectors to fit the tree on (about: a sample by hash); branches of a node; vectors of the sample in a leaf at most.
-SAMPLE_ROWS, BRANCHES, LEAF_ROWS = 16_000, 8, 96
+#: Vectors to fit the tree on (about: a sample by hash), at least; as many times the root of the number of vectors; at most.
+SAMPLE_ROWS, SAMPLE_ROOTS, SAMPLE_MOST = 16_000, 16, 250_000
+#: Branches of a node; vectors of the sample in a leaf at most.
+BRANCHES, LEAF_ROWS = 8, 96
 #: Recall that the calibration aims at (of the true neighbours within the sample), over so many of its vectors.
 RECALL, CALIBRATION = 0.97, 200
 #: Leaves in a bin; vectors and queries in a block at most (about).
@@ -229,7 +233,8 @@ def nearest_neighbours(
     candidates; with k candidates or fewer all are returned; an empty table gives an empty one."""
     spark = df.sparkSession
     rows = usable_vectors(df, id_col, vector_col)
-    sample = hash_sample(rows, "id", sample_rows, rows.count())
+    total = rows.count()
+    sample = hash_sample(rows, "id", min(max(sample_rows, SAMPLE_ROOTS * math.isqrt(total)), SAMPLE_MOST), total)
     fitted = sample.repartition(1).mapInArrow(_fit(k, recall), "tree binary, visits long").collect()  # one row
     if not fitted:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
