@@ -3,8 +3,8 @@
 For every language a tree of byte contexts of order 0 to ORDER counts which byte followed which context in a bounded
 sample of texts. A byte's code length under a language is that of PPM (method C, with exclusion): the longest context
 that has seen the byte codes it; every longer one adds the length of its escape. Counts are frozen after training, so
-the code length of each byte after each longest context is computed once, into a table; scoring a text adds up exact
-code lengths. The language with the shortest code wins.
+the code length of each byte after each context that was seen is computed once, into a table (a context that was not
+seen has the lengths of the longest part of it that was); scoring a text adds up exact code lengths. The language with the shortest code wins.
 """
 
 from __future__ import annotations
@@ -46,20 +46,14 @@ def _text_contexts(symbols: np.ndarray, off: np.ndarray, size: int) -> np.ndarra
     return at
 
 
-def code_lengths(counts: np.ndarray) -> np.ndarray:
-    """counts[a, ..., s] of symbol s after the longest contexts -> bits for s after each, by escape down to order 0."""
-    size = counts.shape[-1]
-    orders = [counts]
-    while orders[-1].ndim > 1:
-        orders.append(orders[-1].sum(axis=0))
-    total = np.zeros(counts.shape)
-    coded = np.zeros(counts.shape, dtype=bool)
+def _escaped(orders: list[np.ndarray]) -> np.ndarray:
+    """Counts of symbol s (last axis) after each context, and after ever shorter ones of it down to order 0 -> bits for s."""
+    total, coded = np.zeros(orders[0].shape), np.zeros(orders[0].shape, dtype=bool)
     for c in orders:
-        c = np.broadcast_to(c, counts.shape)
         open_ = ~coded
-        n = np.where(open_, c, 0).sum(axis=-1, keepdims=True)
-        kinds = (open_ & (c > 0)).sum(axis=-1, keepdims=True)
         here = open_ & (c > 0)
+        n = np.where(open_, c, 0).sum(axis=-1, keepdims=True)
+        kinds = here.sum(axis=-1, keepdims=True)
         bits = np.log2(np.maximum(n + kinds, 1))
         total += np.where(here, bits - np.log2(np.maximum(c, 1)), 0.0)
         # an escape where nothing is seen, or nothing left to escape to, costs nothing
@@ -70,6 +64,30 @@ def code_lengths(counts: np.ndarray) -> np.ndarray:
     return (total + np.where(coded, 0.0, np.log2(np.maximum(left, 1)))).astype(np.float32)
 
 
+def code_lengths(counts: np.ndarray) -> np.ndarray:
+    """counts[a, ..., s] of symbol s after the longest contexts -> bits for s after each, by escape down to order 0."""
+    orders = [counts]
+    while orders[-1].ndim > 1:
+        orders.append(orders[-1].sum(axis=0))
+    return _escaped([np.broadcast_to(c, counts.shape) for c in orders])
+
+
+def length_table(context: np.ndarray, symbol: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """From `symbol` seen n times after `context` (a number of ORDER digits to the base size, the nearest byte the least):
+    the row of every context, and the rows, code_lengths of the contexts of 0 to ORDER bytes that were seen. The row of
+    a context that was not seen is that of the longest part of it that was: what it would escape to, at no cost."""
+    seen, rows, row_of = [], [], np.zeros(1, np.int32)
+    for order in range(ORDER + 1):
+        key, at = np.unique(context % size**order, return_inverse=True)
+        counts = np.zeros((len(key), size))
+        np.add.at(counts, (at, symbol), n)
+        seen.insert(0, (size**order, key, counts))
+        row_of = np.tile(row_of, size) if order else row_of
+        row_of[key] = sum(map(len, rows)) + np.arange(len(key))
+        rows.append(_escaped([c[np.searchsorted(k, key % digits)] for digits, k, c in seen]))
+    return row_of, np.concatenate(rows)
+
+
 @trimmed
 def _observe(batches):
     """Histogram of contexts per language over all 256 symbols' used part, as (lang, context, n)."""
@@ -85,10 +103,10 @@ def _observe(batches):
 
 
 def train_languages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_texts: int = SAMPLE_TEXTS) -> dict:
-    """{languages, symbols (byte -> symbol), lengths (language, context, symbol)} from about `sample_texts` texts of each
-    language at most. Rows without text or language are left out.
+    """{languages, symbols (byte -> symbol), size (of the alphabet), tables (see length_table, one a language)} from about
+    `sample_texts` texts of each language at most. Rows without text or language are left out.
 
-    The tables' size is bounded by the alphabet: at most 156 symbols, 4 bytes * symbols ** (ORDER + 1) a language."""
+    A language's table has a row of 4 bytes a symbol (156 at most) for every context that its sample holds."""
     rows = df.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col), F.col(text_col), F.lit(5)).alias("h")).where("lang IS NOT NULL AND text IS NOT NULL AND length(text) > 0")
     total = rows.groupBy("lang").agg(F.count("*").alias("total"))
     chosen = rows.join(F.broadcast(total), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("total").cast("double") ** -1 * sample_texts * (1 << 30))
@@ -100,13 +118,12 @@ def train_languages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     number = np.full(256, len(used), dtype=np.int64)  # bytes not seen share one symbol
     number[used] = np.arange(len(used))
     size = len(used) + 1
-    lengths = []
+    context = sum((number[parts[d]] * size ** (d - 1) for d in range(1, ORDER + 1)), np.zeros(len(table), np.int64))
+    tables = []
     for lang in languages:
         mine = (table["lang"] == lang).to_numpy()
-        counts = np.zeros((size,) * (ORDER + 1))
-        counts[tuple(number[parts[d][mine]] for d in range(ORDER, -1, -1))] = table["n"].to_numpy(np.float64)[mine]
-        lengths.append(code_lengths(counts).reshape(-1))
-    return {"languages": languages, "symbols": number[np.where(SYMBOL == 32, 0, SYMBOL)], "size": size, "lengths": np.stack(lengths) if lengths else np.zeros((0, 0), np.float32)}
+        tables.append(length_table(context[mine], number[parts[0]][mine], table["n"].to_numpy(np.float64)[mine], size))
+    return {"languages": languages, "symbols": number[np.where(SYMBOL == 32, 0, SYMBOL)], "size": size, "tables": tables}
 
 
 def _has_letter(text: bytes) -> bool:
@@ -120,13 +137,14 @@ _ASCII_LETTER[np.r_[65:91, 97:123]] = True
 def _classify(shared):
     def run(batches):
         model = shared.value
-        languages, symbols, size, lengths = model["languages"], model["symbols"], model["size"], model["lengths"]
+        languages, symbols, size, tables = model["languages"], model["symbols"], model["size"], model["tables"]
         for batch, data, off in text_chunks(batches):
             rows = batch.num_rows
             at = _text_contexts(symbols[data], off, size)
             bits = np.zeros((len(languages), rows))
-            for i, table in enumerate(lengths):
-                total = np.concatenate([[0.0], np.cumsum(table[at], dtype=np.float64)])
+            context, symbol = np.divmod(at, size)
+            for i, (row_of, lengths) in enumerate(tables):
+                total = np.concatenate([[0.0], np.cumsum(lengths[row_of[context], symbol], dtype=np.float64)])
                 bits[i] = total[off[1:]] - total[off[:-1]]
             letters = np.concatenate([[0], np.cumsum(_ASCII_LETTER[data])])
             lettered = letters[off[1:]] > letters[off[:-1]]

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from corpuslens.llm.byte_bpe import Merges, Tokens, decode, encode, read_ranks
-from corpuslens.llm.language_ppm import code_lengths, identify_language, train_languages
+from corpuslens.llm.language_ppm import ORDER, code_lengths, identify_language, length_table, train_languages
 from corpuslens.llm.quality import quality_scores, train_quality
 from corpuslens.llm.toxicity import fold, learn_lexicon, toxicity_filter, toxicity_scores
 
@@ -151,3 +151,61 @@ def test_code_lengths_are_probabilities():
     rng = np.random.default_rng(1)
     bits = code_lengths(rng.integers(0, 3, (5, 5, 5)).astype(float))
     assert (np.exp2(-bits.astype(float)).sum(axis=-1) <= 1 + 1e-6).all()
+
+
+def test_table_of_seen_contexts_is_the_whole_one():
+    rng, size = np.random.default_rng(2), 9
+    context, symbol, n = rng.integers(0, size**ORDER, 60) // 2, rng.integers(0, size, 60), rng.integers(1, 5, 60).astype(float)
+    counts = np.zeros((size**ORDER, size))
+    np.add.at(counts, (context, symbol), n)
+    row_of, rows = length_table(context, symbol, n, size)
+    assert len(rows) < size**ORDER
+    assert np.array_equal(rows[row_of], code_lengths(counts.reshape((size,) * (ORDER + 1))).reshape(-1, size))
+
+
+def by_hand(counts, text, symbols):
+    """Bits of a text by partial matching (escape C, exclusion), from counts[context][symbol]; contexts are tuples."""
+    total = 0.0
+    for i, s in enumerate(text):
+        before, out = tuple(([0] * ORDER + text[:i])[-ORDER:]), set()
+        for order in range(ORDER, -1, -1):
+            seen = {k: v for k, v in counts.get(before[ORDER - order :], {}).items() if k not in out}
+            n, kinds = sum(seen.values()), len(seen)
+            if s in seen:
+                total += np.log2((n + kinds) / seen[s])
+                break
+            if kinds:
+                total += np.log2((n + kinds) / kinds)
+                out |= set(seen)
+        else:
+            total += np.log2(symbols - len(out))
+    return total
+
+
+def test_languages_against_plain_matching(spark):
+    from corpuslens.llm.language_ppm import SYMBOL
+
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("la lila lo", "aa"), ("lola 12 lil", "aa"), ("krk trk", "bb"), ("tkr, kkt r", "bb")] * 3)]
+    new = [(100, "lil krk", None), (101, "trkt zz", None), (102, "ola é", None), (103, "lol " * 400, None), (104, "la lila lo", "zz"), (104, "la lila lo", "zz")]
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = train_languages(train, sample_texts=10**6)
+    fold = lambda t: [0 if SYMBOL[b] == 32 else int(SYMBOL[b]) for b in t.encode()]
+    alphabet = {0} | {s for _, t, _ in rows for s in fold(t)}
+    number = lambda t: [s if s in alphabet else -1 for s in fold(t)]
+    models = {}
+    for _, t, lang in rows:
+        x = number(t)
+        for i, s in enumerate(x):
+            before = tuple(([0] * ORDER + x[:i])[-ORDER:])
+            for order in range(ORDER + 1):
+                of = models.setdefault(lang, {}).setdefault(before[ORDER - order :], {})
+                of[s] = of.get(s, 0) + 1
+    # columns whose names clash with those of the result, and repeated rows
+    df = spark.createDataFrame([(*r, "x", 1) for r in new], "doc_id long, text string, lang string, lang_pred string, score int")
+    got = identify_language(df, model).collect()
+    assert len(got) == len(new)
+    for r in got:
+        text = next(t for i, t, _ in new if i == r.doc_id)
+        bits = {lang: by_hand(m, number(text), len(alphabet) + 1) for lang, m in models.items()}
+        assert r.lang_pred == min(bits, key=bits.get)
+        assert r.score == pytest.approx(1 / sum(2.0 ** max(min(bits.values()) - b, -1000) for b in bits.values()), rel=1e-3)
