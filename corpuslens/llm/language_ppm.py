@@ -30,19 +30,17 @@ SYMBOL[128:] = np.arange(128, 256)
 
 
 def _text_contexts(symbols: np.ndarray, off: np.ndarray, size: int) -> np.ndarray:
-    """For every byte of texts that lie end to end the number of (its ORDER predecessors, itself); a text begins as if
-    after spaces, symbol 0."""
-    at = symbols.copy()
-    scale = 1
+    """For every byte of texts that lie end to end the number of its ORDER predecessors, the nearest the least digit; a
+    text begins as if after spaces, symbol 0."""
     n = len(symbols)
+    at = np.zeros(n, dtype=np.int64)
     for d in range(1, ORDER + 1):
-        scale *= size
         before = np.zeros(n, dtype=np.int64)
         before[d:] = symbols[:-d] if d < n else 0
         for s in range(d):  # positions whose d-th predecessor lies in another text
             p = off[:-1] + s
             before[p[(p < off[1:])]] = 0
-        at += before * scale
+        at += before * size ** (d - 1)
     return at
 
 
@@ -94,7 +92,8 @@ def _observe(batches):
     for batch in batches:
         data, off = buffers(batch.column(1))
         data, off = data[off[0] : off[-1]], off - off[0]
-        at = _text_contexts(np.where(SYMBOL == 32, 0, SYMBOL)[data], off, 256)
+        symbol = np.where(SYMBOL == 32, 0, SYMBOL)[data]
+        at = _text_contexts(symbol, off, 256) * 256 + symbol
         langs = batch.column(0).to_pylist()
         for lang in sorted(set(langs)):
             mask = np.repeat(np.array([x == lang for x in langs]), np.diff(off))
@@ -140,11 +139,12 @@ def _classify(shared):
         languages, symbols, size, tables = model["languages"], model["symbols"], model["size"], model["tables"]
         for batch, data, off in text_chunks(batches):
             rows = batch.num_rows
-            at = _text_contexts(symbols[data], off, size)
+            symbol = symbols[data]
+            context = _text_contexts(symbol, off, size)
             bits = np.zeros((len(languages), rows))
-            context, symbol = np.divmod(at, size)
             for i, (row_of, lengths) in enumerate(tables):
-                total = np.concatenate([[0.0], np.cumsum(lengths[row_of[context], symbol], dtype=np.float64)])
+                at = row_of[context] * size + symbol
+                total = np.concatenate([[0.0], np.cumsum(lengths.ravel()[at], dtype=np.float64)])
                 bits[i] = total[off[1:]] - total[off[:-1]]
             letters = np.concatenate([[0], np.cumsum(_ASCII_LETTER[data])])
             lettered = letters[off[1:]] > letters[off[:-1]]
