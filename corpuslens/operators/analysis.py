@@ -12,6 +12,7 @@ from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -254,41 +255,103 @@ def keyword_vocabulary(found: DataFrame, min_frequency: int = 2) -> DataFrame:
     return found.groupBy(F.col("keyword").alias("ngram")).agg(F.count("*").alias("n")).where(F.col("n") >= min_frequency)
 
 
+def _gram_codes(points: np.ndarray, n: int) -> np.ndarray:
+    """Every run of n code points as a number, ordered as the runs are: 21 bits a character, the first one highest."""
+    return sum(points[i : len(points) - n + 1 + i] << (21 * (2 - i)) for i in range(n))
+
+
+#: Runs of letters that a task counts together before it passes counts on.
+GRAMS_AT_ONCE = 2_000_000
+
+
 def language_profiles(df: DataFrame, text_col: str, lang_col: str, top: int = 300) -> DataFrame:
-    """(lang, rank, gram): the most frequent runs of one to three letters of each language."""
-    grams = None
-    for n in (1, 2, 3):
-        padded = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.col(text_col)), r"[^\p{L}]+", " "), F.lit(" "))
-        rows = df.select(F.col(lang_col).alias("lang"), padded.alias("t")).select("lang", "t", F.explode(F.sequence(F.lit(1), F.length("t"))).alias("i"))
-        one = rows.select("lang", F.substring("t", F.col("i"), F.lit(n)).alias("gram")).where((F.length("gram") == n) & (F.trim("gram") != "")).groupBy("lang", "gram").agg(F.count("*").alias("c"))
-        grams = one if grams is None else grams.unionByName(one)
+    """(lang, rank, gram): the most frequent runs of one to three letters of each language. A task counts the runs of many
+    texts of a language at once, as numbers; only a language's different runs are shuffled."""
+    padded = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.col(text_col)), r"[^\p{L}]+", " "), F.lit(" "))
+
+    def counted(lang, texts):
+        # texts are parted by a character that no text holds; characters are numbered, so that runs are counted by place
+        points = np.frombuffer("\0".join(["", *texts]).encode("utf-32-le", "surrogatepass"), "<u4")
+        letters = np.flatnonzero(np.bincount(points))
+        number = np.zeros(letters[-1] + 1, np.int64)
+        number[letters] = np.arange(len(letters))
+        points, size, space = number[points], len(letters), np.searchsorted(letters, 32)
+        for n in (1, 2, 3):
+            parts = [points[i : len(points) - n + 1 + i] for i in range(n)]
+            good = np.any([p != space for p in parts], axis=0) & np.all([p != 0 for p in parts], axis=0)
+            runs = sum(p * size ** (n - 1 - i) for i, p in enumerate(parts))[good]
+            if size**n <= GRAMS_AT_ONCE:
+                counts = np.bincount(runs)
+                codes = np.flatnonzero(counts)
+                counts = counts[codes]
+            else:
+                codes, counts = np.unique(runs, return_counts=True)
+            grams = ["".join(chr(letters[c // size**i % size]) for i in range(n - 1, -1, -1)) for c in codes.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.string()), pa.array(counts, pa.int64())], names=["lang", "gram", "c"])
+
+    def run(batches):
+        waiting: dict[str, list[str]] = {}
+        sizes: Counter = Counter()
+        for b in batches:
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                waiting.setdefault(lang, []).append(text)
+                sizes[lang] += len(text) + 1
+                if sizes[lang] > GRAMS_AT_ONCE:
+                    yield from counted(lang, waiting.pop(lang))
+                    del sizes[lang]
+        for lang, texts in waiting.items():
+            yield from counted(lang, texts)
+
+    rows = df.select(F.col(lang_col).cast("string").alias("lang"), padded.alias("t")).where("lang IS NOT NULL AND t IS NOT NULL")
+    grams = rows.mapInArrow(run, "lang string, gram string, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
     order = Window.partitionBy("lang").orderBy(F.desc("c"), "gram")
-    return grams.where("lang IS NOT NULL").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("lang", "rank", "gram")
+    return grams.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("lang", "rank", "gram")
 
 
 def detect_language(df: DataFrame, id_col: str, text_col: str, profiles: dict[str, list[str]]) -> DataFrame:
-    """(id, probabilities: map of language to a share): by how far a text's frequent runs of letters lie from their
-    places in each profile. Feed the map to functions.text.decide_language."""
-    places = {lang: {g: i for i, g in enumerate(p)} for lang, p in profiles.items()}
+    """(id, text, probabilities: map of language to a share): by how far a text's frequent runs of letters lie from their
+    places in each profile. Feed the map to functions.text.decide_language; the text is passed on for its votes, so that
+    nothing has to be joined again."""
+    languages = list(profiles)
+    # all grams of the profiles in order, and each language's place of each, 300 where it has none
+    known = np.array(sorted({sum(ord(c) << (21 * (2 - i)) for i, c in enumerate(g)) for p in profiles.values() for g in p}), np.int64)
+    places = np.full((len(known) + 1, len(languages)), 300, np.int64)
+    for k, p in enumerate(profiles.values()):
+        for i, g in enumerate(p):
+            places[np.searchsorted(known, sum(ord(c) << (21 * (2 - j)) for j, c in enumerate(g))), k] = i
+    other = re.compile(r"[^\w]+|[0-9_]+")
 
     def run(batches):
         for b in batches:
             out = []
             for text in b.column(1).to_pylist():
-                clean = f" {re.sub(r'[^' + chr(92) + r'w]+|[0-9_]+', ' ', (text or '').lower())} "
-                grams = Counter(clean[i : i + n] for n in (1, 2, 3) for i in range(len(clean) - n + 1) if clean[i : i + n].strip())
-                mine = [g for g, _ in sorted(grams.items(), key=lambda x: (-x[1], x[0]))[:300]]
-                if not mine or not places:
+                clean = f" {other.sub(' ', (text or '').lower())} "
+                points = np.frombuffer(clean.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+                blank = points == 32
+                codes = []
+                for n in (1, 2, 3):
+                    if len(points) >= n:
+                        empty = blank[: len(points) - n + 1].copy()
+                        for i in range(1, n):
+                            empty &= blank[i : len(points) - n + 1 + i]
+                        codes.append(_gram_codes(points, n)[~empty])
+                grams, counts = np.unique(np.concatenate(codes), return_counts=True)
+                mine = grams[np.argsort(-counts, kind="stable")[:300]]
+                if not len(mine) or not languages:
                     out.append(None)
                     continue
-                far = {lang: sum(abs(p.get(g, 300) - i) for i, g in enumerate(mine)) / len(mine) for lang, p in places.items()}
+                at = np.searchsorted(known, mine)
+                at[at == len(known)] = 0
+                at = np.where(known[at] == mine, at, len(known)) if len(known) else np.full(len(mine), len(known))
+                distance = np.abs(places[at] - np.arange(len(mine))[:, None]).sum(axis=0).tolist()
+                far = {lang: d / len(mine) for lang, d in zip(languages, distance)}
                 near = min(far.values())
                 weight = {lang: math.exp(-(d - near) / 6) for lang, d in far.items()}
                 total = sum(weight.values())
                 out.append([(lang, w / total) for lang, w in sorted(weight.items())])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.map_(pa.string(), pa.float64()))], names=["id", "probabilities"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.map_(pa.string(), pa.float64()))], names=["id", "text", "probabilities"])
 
-    return df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "id long, probabilities map<string,double>")
+    return df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "id long, text string, probabilities map<string,double>")
 
 
 def fold_unicode(text: Column) -> Column:

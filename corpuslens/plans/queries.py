@@ -539,8 +539,8 @@ def language_profile_detection(spark, d):
     profiles: dict[str, list[str]] = {}
     for r in language_profiles(documents, "text", "lang").orderBy("lang", "rank").collect():  # 300 rows a language
         profiles.setdefault(r["lang"], []).append(r["gram"])
-    found = documents.select("doc_id", "text").join(detect_language(documents, "doc_id", "text", profiles).withColumnRenamed("id", "doc_id"), "doc_id")
-    return found.select("doc_id", decide_language(F.col("probabilities"), count_tokens(F.col("text")), F.col("text")).alias("language"))
+    found = detect_language(documents, "doc_id", "text", profiles)
+    return found.select(F.col("id").alias("doc_id"), decide_language(F.col("probabilities"), count_tokens(F.col("text")), F.col("text")).alias("language"))
 
 
 @query()

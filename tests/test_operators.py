@@ -279,6 +279,35 @@ def test_analysis(spark):
     assert found[1]["es"] > found[1]["en"] and found[2] is None
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_language_profiles_count_runs_without_a_row_each(spark, monkeypatch):
+    texts = [("La  niña, el mar.", "es"), ("mar", "es"), (None, "es"), ("", "es"), ("The sea 3 \U0001d54f", "en"), ("x", None), ("mar " * 4000, "es")]
+    want: dict = {}
+    for text, lang in texts:
+        if text is not None and lang:
+            t = f" {''.join(c if c.isalpha() else '|' for c in text.lower())} "
+            while "||" in t:
+                t = t.replace("||", "|")
+            t = t.replace("|", " ")
+            for n in (1, 2, 3):
+                for g in (t[i : i + n] for i in range(len(t) - n + 1)):
+                    if g.strip():
+                        want.setdefault(lang, {}).setdefault(g, 0)
+                        want[lang][g] += 1
+    places = {(lang, g): r for lang, c in want.items() for r, g in enumerate(sorted(c, key=lambda g: (-c[g], g)), 1)}
+    df = spark.createDataFrame(texts, "t string, lang string")
+    for at_once in (2_000_000, 30):  # counted by place, and sorted where there are many letters
+        monkeypatch.setattr(analysis, "GRAMS_AT_ONCE", at_once)
+        profiles = analysis.language_profiles(df, "t", "lang")
+        assert {(r.lang, r.gram): r["rank"] for r in profiles.collect()} == places
+    assert "Generate" not in plan_of(profiles)
+    found = analysis.detect_language(df.withColumn("id", F.lit(1)), "id", "t", {"es": ["a"], "en": ["e"]})
+    assert "Exchange" not in plan_of(found.select("id", "text", "probabilities"))
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "web").mkdir()
     (tmp_path / "web" / "cancun.csv").write_text('Comentario,Rating,Unnamed: 0\n"una ""gran""\nplaya",5,1\n,3,2\nmala,x,3\n', encoding="utf-8")
