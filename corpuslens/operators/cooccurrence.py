@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.files import keep
 
+#: Texts and terms of one product of matrices.
+TEXTS, TILE = 2048, 1024
+
 
 def pmi(both: Column, a: Column, b: Column, n: Column) -> Column:
     return F.log2((both / n) / ((a / n) * (b / n)))
@@ -33,13 +38,45 @@ def entity_cooccurrence(found: DataFrame, n_docs: Column, min_docs: int = 10, mi
 
 def term_cooccurrence(df: DataFrame, id_col: str, topic_col: str, words: Column, vocabulary: DataFrame, min_pairs: int = 3, min_df: int = 2) -> DataFrame:
     """(topic, a, b, n, pmi, df_a, df_b, n_docs): pairs of the vocabulary's terms within a topic's texts, with the
-    topic's own frequencies. vocabulary (column ngram) is a top list, so it is broadcast."""
-    rows = df.select(F.col(topic_col).alias("topic"), F.col(id_col).alias("id"), F.array_distinct(words).alias("w")).where("topic <> -1")
-    terms = rows.select("topic", "id", F.explode("w").alias("ngram")).join(F.broadcast(vocabulary.select("ngram")), "ngram")
-    marginals = terms.groupBy("topic", "ngram").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
+    topic's own frequencies; a row of df is a text. vocabulary (column ngram) is a top list, so it is collected.
+
+    A task counts its texts as products of 0/1 matrices and passes on one count of each pair and topic, so what is
+    shuffled does not grow with the texts' pairs."""
+    terms = sorted({r[0] for r in vocabulary.select("ngram").collect() if r[0] is not None})
+    place = {t: i for i, t in enumerate(terms)}
+    rows = df.select(F.col(topic_col).cast("long").alias("topic"), F.col(id_col).alias("id"), words.alias("w")).where("topic <> -1")
+    listed = rows.select("topic", F.array_intersect("w", F.array(*map(F.lit, terms)).cast("array<string>")).alias("w"))
+
+    def run(batches):
+        waiting: dict[int, list[list[int]]] = {}
+        sums: dict[tuple[int, int, int], np.ndarray] = {}  # by topic and tile
+
+        def add(topic):
+            texts = waiting.pop(topic)
+            x = np.zeros((len(texts), len(terms)), np.float32)  # counts of up to TEXTS are exact
+            for i, at in enumerate(texts):
+                x[i, at] = 1
+            for i in range(0, len(terms), TILE):
+                for j in range(i, len(terms), TILE):
+                    found = (x[:, i : i + TILE].T @ x[:, j : j + TILE]).astype(np.int64)
+                    sums[topic, i, j] = sums.get((topic, i, j), 0) + found
+
+        for b in batches:
+            for topic, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if w:
+                    waiting.setdefault(topic, []).append([place[t] for t in w])
+                    if len(waiting[topic]) >= TEXTS:
+                        add(topic)
+        for topic in list(waiting):
+            add(topic)
+        for (topic, i, j), found in sums.items():
+            y, x = np.nonzero(np.triu(found) if i == j else found)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in ((np.full(len(y), topic), pa.int64()), ([terms[k] for k in (y + i).tolist()], pa.string()), ([terms[k] for k in (x + j).tolist()], pa.string()), (found[y, x], pa.int64()))], names=["topic", "a", "b", "n"])
+
+    both = keep(listed.mapInArrow(run, "topic long, a string, b string, n long").groupBy("topic", "a", "b").agg(F.sum("n").alias("n")))
+    marginals = both.where("a = b").select("topic", "a", F.col("n").alias("df")).where(F.col("df") >= min_df)  # a term with itself
     sizes = rows.groupBy("topic").agg(F.count("*").alias("n_docs"))
-    lists = terms.groupBy("topic", "id").agg(F.collect_list("ngram").alias("items"))
-    counts = pairs_of(lists, ["topic", "id"], "items").groupBy("topic", "a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= min_pairs)
+    counts = both.where(F.col("a") < F.col("b")).where(F.col("n") >= min_pairs)
     out = counts.join(marginals.toDF("topic", "a", "df_a"), ["topic", "a"]).join(marginals.toDF("topic", "b", "df_b"), ["topic", "b"]).join(sizes, "topic")
     return out.select("topic", "a", "b", "n", pmi(F.col("n"), F.col("df_a"), F.col("df_b"), F.col("n_docs")).alias("pmi"), "df_a", "df_b", "n_docs")
 

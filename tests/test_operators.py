@@ -76,6 +76,28 @@ def test_golden_pmi(spark):
     assert all(r.got == r.want for r in df.collect())
 
 
+def test_term_pairs_are_counted_by_task(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    words = [f"w{i:02}" for i in range(30)]
+    texts = [(i, [-1, 1, 2][i % 3], [*rng.choice(words, rng.integers(0, 14))]) for i in range(90)]
+    df = spark.createDataFrame(texts, "id long, topic long, w array<string>").repartition(3)
+    vocabulary = spark.createDataFrame([(w,) for w in words[:20]], "ngram string")
+    n, one = {}, {}
+    for _, topic, ws in texts:
+        known = sorted({*ws} & {*words[:20]})
+        for i, a in enumerate(known):
+            one[topic, a] = one.get((topic, a), 0) + 1
+            for b in known[i + 1 :]:
+                n[topic, a, b] = n.get((topic, a, b), 0) + 1
+    want = {(k, c, one[k[0], k[1]], one[k[0], k[2]]) for k, c in n.items() if c >= 3 and k[0] != -1}
+    for texts_, tile in ((2048, 1024), (7, 6)):
+        monkeypatch.setattr(cooccurrence, "TEXTS", texts_)
+        monkeypatch.setattr(cooccurrence, "TILE", tile)
+        out = cooccurrence.term_cooccurrence(df, "id", "topic", F.col("w"), vocabulary)
+        assert {((r.topic, r.a, r.b), r.n, r.df_a, r.df_b) for r in out.collect()} == want
+    assert "Generate" not in plan_of(out)  # no row for a pair of a text
+
+
 def test_components_and_degrees(spark):
     edges = spark.createDataFrame([("a", "b", 3), ("b", "c", 1), ("d", "e", 2)], "a string, b string, n long")
     assert dict(cooccurrence.component_labels(edges).collect()) == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "d"}
