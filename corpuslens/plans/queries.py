@@ -340,10 +340,9 @@ k AS (SELECT entity FROM edges GROUP BY entity HAVING count(*) >= 20),
 c AS (SELECT entity, phrase, count(*)::BIGINT AS n FROM edges JOIN k USING (entity) JOIN w USING (id) GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY n DESC, phrase)::INT AS rank FROM c) SELECT entity, rank, phrase, n FROM r WHERE rank <= 5""")
 def entity_top_phrases(spark, d):
-    found = _mentions(spark, d)
-    common = entities.aggregate_entities(found).where("docs >= 20").select("entity")
-    words = _documents(spark, d).select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("phrase"))
-    return entities.entity_phrases(found.join(common, "entity", "left_semi"), words)
+    found = F.transform(F.regexp_extract_all("text", F.lit(entities.CAPITALIZED), F.lit(0)), lambda e: F.lower(e))
+    texts = _documents(spark, d).select(F.coalesce(found, F.array()).alias("entities"), X.tokens(F.col("text")).alias("phrases"))
+    return entities.entity_phrases(texts, min_docs=20)
 
 
 @query(f"""WITH {CORPUS}, {MENTIONS}, j AS (SELECT entity, rated.* FROM edges JOIN rated USING (id)),

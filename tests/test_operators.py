@@ -155,6 +155,31 @@ def test_rare_spellings_are_merged(spark, tmp_path):
     assert want["guanajuat"] == "guanajuato" and want["palenqque"] == "palenque"
 
 
+def test_phrases_of_entities_without_a_row_a_pair(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    words = [f"w{i}" for i in range(60)]
+    texts = [([f"e{k}" for k in range(9) if rng.random() < 0.8 ** (k + 1)], [words[int(j)] for j in rng.zipf(1.3, rng.integers(0, 30)) if j < 60]) for _ in range(200)]
+    texts += [(["e1", "e1", "lone"], ["twice", "twice", "w1"]), (["bare"], []), (["bare"], None), ([], ["w1"]), (None, ["w1"])]
+    pairs, docs = {}, {}
+    for own, phrases in texts:
+        for e in set(own or []):
+            docs[e] = docs.get(e, 0) + 1
+            for w in set(phrases or []):
+                pairs[e, w] = pairs.get((e, w), 0) + 1
+    df = spark.createDataFrame(texts, "entities array<string>, phrases array<string>").repartition(3)
+    for least, head, known, sure, held in ((1, 128, 200_000, 4, 50_000), (2, 3, 7, 1, 1), (20, 0, 0, 2, 50_000), (300, 1, 1, 1, 1)):
+        for k, v in (("HEAD", head), ("KNOWN", known), ("SURE", sure), ("HELD", held)):
+            monkeypatch.setattr(entities, k, v)
+        want = set()
+        for e in docs:
+            if docs[e] >= least:
+                own = sorted((-n, w) for (x, w), n in pairs.items() if x == e)
+                want |= {(e, r + 1, w, -n) for r, (n, w) in enumerate(own[:5])}
+        out = entities.entity_phrases(df, min_docs=least)
+        assert {tuple(r) for r in out.collect()} == want
+        assert "explode(p" not in plan_of(out)  # no row for an entity and a phrase of a text
+
+
 def test_specificity_and_polarization(spark):
     rows = [(i, "A" if i < 3 else "B", 1 if i < 4 else 2, 5.0 if i % 2 else 1.0) for i in range(10)]
     df = spark.createDataFrame([*rows, (99, "A", -1, None)], "id long, location string, topic int, stars double")
