@@ -192,7 +192,7 @@ w AS (SELECT doc_id, term, tf * idf AS w FROM c JOIN t USING (term)),
 r AS (SELECT term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS v FROM w)
 SELECT term, round(sum(v), 6) AS score FROM r GROUP BY term ORDER BY sum(v) DESC, term LIMIT 10""")
 def corpus_tfidf_top_terms(spark, d):
-    top = tfidf.top_tfidf_terms(tfidf.corpus_tfidf(_documents(spark, d), "doc_id", "text"))
+    top = tfidf.top_tfidf_terms(_documents(spark, d), "doc_id", "text")
     return top.select("term", F.round("score", 6).alias("score"))
 
 

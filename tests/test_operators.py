@@ -84,6 +84,20 @@ def test_cluster_keywords_without_rows_of_single_texts(spark, monkeypatch):
     assert "Window [sum" not in plan_of(out)
 
 
+def test_top_tfidf_terms_without_rows_of_texts(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [(i, " ".join(f"w{j}" for j in rng.zipf(1.5, rng.integers(0, 30)) if j < 40)) for i in range(150)] + [(200, None), (201, ""), (202, "W1, w1; W2_x a"), (203, "w1")]
+    for rows in (texts, [*texts, (203, "w2 w3")], [(i, f"x{i // 2} y{i // 2}") for i in range(30)]):
+        df = spark.createDataFrame(rows, "id long, t string").repartition(3)
+        whole = tfidf.corpus_tfidf(df, "id", "t").groupBy("term").agg(F.sum("tfidf").alias("score")).collect()
+        want = [(-round(r.score, 9), r.term) for r in whole]
+        for known, heads, piece in ((2_000_000, 50_000, 500_000), (20, 2, 7), (60, 0, 1)):
+            for k, v in (("KNOWN", known), ("HEADS", heads), ("PIECE", piece), ("HASHES", piece)):
+                monkeypatch.setattr(tfidf, k, v)
+            out = tfidf.top_tfidf_terms(df, "id", "t")
+            assert [(-round(r.score, 9), r.term) for r in out.collect()] == sorted(want)[:10]
+
+
 def test_golden_pmi(spark):
     n = 54618
     df = spark.createDataFrame(GOLDEN, "c long, a long, b long, want double").withColumn("got", F.round(F.round(cooccurrence.pmi(F.col("c"), F.col("a"), F.col("b"), F.lit(n)), 4), 2))
