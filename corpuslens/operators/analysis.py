@@ -238,18 +238,131 @@ def keyword_candidates(text: str, n: int = 2, top: int = 5, stop: frozenset[str]
     return sorted(found, key=lambda f: (f[1], f[0]))[:top]
 
 
+#: Characters of texts whose keywords are found at once (a longer text is taken alone).
+CHARACTERS = 1_000_000
+
+
 def keywords_of_texts(df: DataFrame, id_col: str, text_col: str, n: int = 2, top: int = 5) -> DataFrame:
-    """(id, rank, keyword, score)."""
+    """(id, rank, keyword, score): keyword_candidates of many texts at once."""
 
     def run(batches):
         for b in batches:
-            rows = [(i, r + 1, k, s) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for r, (k, s) in enumerate(keyword_candidates(t, n, top))]
-            cols = list(zip(*rows)) if rows else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.float64()))], names=["id", "rank", "keyword", "score"])
+            ids, texts, i = b.column(0), b.column(1).to_pylist(), 0
+            while i < len(texts):
+                j, size = i, 0
+                while j < len(texts) and (j == i or size + len(texts[j] or "") <= CHARACTERS):
+                    size += len(texts[j] or "")
+                    j += 1
+                at, rank, keywords, scores = _keywords(texts[i:j], n, top)
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i).take(pa.array(at, pa.int64())), pa.array(rank, pa.int32()), pa.array(keywords, pa.string()), pa.array(scores, pa.float64())], names=["id", "rank", "keyword", "score"])
+                i = j
 
     return df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "id long, rank int, keyword string, score double")
 
 
+def _keywords(texts: list[str | None], n: int, top: int, stop: frozenset[str] = frozenset(w for ws in STOPWORDS.values() for w in ws)):
+    """Number of the text, rank, keyword, score: what keyword_candidates finds, with all words of the texts counted at
+    once. Entries are a text's different words, in the order of the words; runs of entries are told apart by numbers."""
+    find = re.compile(r"\w+|[.!?\n]").findall
+    runs, sizes = [], []
+    for t in texts:
+        found = find(t or "")
+        runs += found
+        sizes.append(len(found))
+    coded = pa.array(runs, pa.string()).dictionary_encode()
+    code, kinds = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    marks = np.array([k in (".", "!", "?", "\n") for k in kinds], bool)
+    word = ~marks[code]
+    if not word.any():
+        return [], [], [], []
+    text = np.repeat(np.arange(len(texts)), sizes)
+    part = (np.cumsum(marks[code]) + text)[word]  # another one in every sentence of every text
+    code, text = code[word], text[word]
+    lows = sorted({k.lower() for k in kinds})
+    number = {k: i for i, k in enumerate(lows)}
+    low = np.array([number[k.lower()] for k in kinds])[code]
+    upper = np.array([k[0].isupper() for k in kinds])[code]
+    first = np.concatenate([[True], part[1:] != part[:-1]])  # of a sentence
+    sentence = np.cumsum(first) - 1
+    begins = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))  # of a text
+    row = np.cumsum(np.concatenate([[False], text[1:] != text[:-1]]))
+    sentences = np.diff(np.append(sentence[begins], sentence[-1] + 1))
+    sentence = sentence - sentence[begins][row]
+
+    key = row * len(lows) + low
+    order = np.argsort(key, kind="stable")
+    new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
+    start = np.flatnonzero(new)
+    entry = np.empty(len(key), np.int64)
+    entry[order] = np.cumsum(new) - 1
+    of, name, tf = row[order][start], low[order][start], np.diff(np.append(start, len(order)))
+    case = np.add.reduceat((upper & ~first)[order].astype(np.int64), start)
+    s = sentence[order]
+    spread = np.add.reduceat((new | np.concatenate([[True], s[1:] != s[:-1]])).astype(np.int64), start)
+    middle = s[start + tf // 2]
+    stops = np.array([k in stop for k in lows])[name]
+    good = np.array([len(k) > 2 and not k.isdigit() for k in lows])[name]
+
+    size = len(of)
+    next_ = np.flatnonzero(~first)  # words with one before them
+    pairs, pair, times = np.unique(entry[next_ - 1] * size + entry[next_], return_inverse=True, return_counts=True)
+    sides = np.zeros(size)
+    for ends, every in ((pairs % size, entry[next_]), (pairs // size, entry[next_ - 1])):
+        total = np.bincount(every, minlength=size)
+        sides += np.bincount(ends, minlength=size) / np.maximum(total, 1)
+    each = np.searchsorted(of, np.arange(len(begins) + 1))
+    usual = np.empty(len(begins))
+    for i in range(len(begins)):
+        real = tf[each[i] : each[i + 1]][~stops[each[i] : each[i + 1]]]
+        if not len(real):
+            real = np.ones(1, np.int64)
+        mean = int(real.sum()) / len(real)
+        usual[i] = mean + (math.fsum(((real - mean) ** 2).tolist()) / len(real)) ** 0.5
+    logs = np.array([0.0, *map(math.log, range(1, int(tf.max()) + 1))])
+    places = np.array([math.log(math.log(3 + i)) for i in range(int(middle.max()) + 1)])
+    related = 1 + sides * tf / np.maximum.reduceat(tf, each[:-1])[of]
+    score = related * places[middle] / (case / (1 + logs[tf]) + tf / usual[of] / related + spread / sentences[of] / related)
+
+    # runs of k entries: (entries, count, product and sum of their scores)
+    found = []
+    for k in range(1, n + 1):
+        if k == 1:
+            run, grams, count, at = entry, np.arange(size)[:, None], tf, np.arange(len(entry))
+        elif k == 2:
+            run, grams, count, at = pair, np.stack([pairs // size, pairs % size], axis=1), times, next_ - 1
+        else:  # by the number of the run that is shorter by one, and the word after it
+            longer = (at + k - 1 < len(entry)) & ~first[np.minimum(at + k - 1, len(entry) - 1)]
+            at, run = at[longer], run[longer]
+            keys, one, inverse, count = np.unique(run * size + entry[at + k - 1], return_index=True, return_inverse=True, return_counts=True)
+            grams, run = np.column_stack([grams[run[one]], keys % size]), inverse
+        fit = good[grams].all(axis=1) & ~stops[grams[:, 0]] & ~stops[grams[:, -1]]
+        own, product, total, lost = grams[fit], 1.0, 0.0, 0.0
+        for i in range(k):  # sums as Python's: what rounding loses is added in the end
+            x = score[own[:, i]]
+            more = total + x
+            lost = lost + np.where(np.abs(total) >= x, total - more + x, x - more + total)
+            product, total = product * x, more
+        found.append((own, product / (count[fit] * (1 + (total + lost)))))
+
+    # of each text those up to its top-th score, then by score and words
+    bounds = [np.searchsorted(of[own[:, 0]], np.arange(len(begins) + 1)) if k < 2 else None for k, (own, _) in enumerate(found)]
+    limit = np.full(len(begins), np.inf)
+    for i in range(len(begins)):
+        short = np.concatenate([found[k][1][b[i] : b[i + 1]] for k, b in enumerate(bounds) if b is not None] or [np.zeros(0)])
+        if len(short) > top > 0:
+            limit[i] = np.partition(short, top - 1)[top - 1]
+    kept = [(own[s <= limit[of[own[:, 0]]]], s[s <= limit[of[own[:, 0]]]]) for own, s in found]
+    rows = sorted((int(of[g[0]]), s, " ".join(lows[i] for i in name[g].tolist())) for own, scores in kept for g, s in zip(own, scores.tolist()))
+    out, last, rank = ([], [], [], []), -1, 0
+    for i, s, words in rows:
+        rank = rank + 1 if i == last else 1
+        last = i
+        if rank <= top:
+            for column, v in zip(out, (int(text[begins[i]]), rank, words, s)):
+                column.append(v)
+    return out
+
+
 def keyword_vocabulary(found: DataFrame, min_frequency: int = 2) -> DataFrame:
     """(ngram, n): keywords of that many texts or more."""
     return found.groupBy(F.col("keyword").alias("ngram")).agg(F.count("*").alias("n")).where(F.col("n") >= min_frequency)

@@ -387,6 +387,26 @@ def plan_of(df):
     return df._jdf.queryExecution().toString()
 
 
+def test_keywords_of_many_texts_at_once(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    words = ["The", "the", "de", "Reef", "reef", "coral", "Coral", "12", "345", "ab", "Ñandú", "ñandú", "x_y", "İstanbul", "la", "playa", "Mar"]
+    texts = ["".join(w + str(rng.choice([" ", " ", " ", ", ", ". ", "!?\n", "\n\n"])) for w in rng.choice(words, rng.integers(0, 60))) for _ in range(120)]
+    texts += [None, "", "...", "the la de", "one", "One two", "\0 a. b", "1 2 3", "reef " * 300]
+    called = []
+    monkeypatch.setattr(analysis, "keyword_candidates", lambda *a, f=analysis.keyword_candidates, **b: called.append(1) or f(*a, **b))
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string").repartition(3)
+    for n, top in ((2, 5), (1, 3), (3, 4), (4, 100)):
+        want = [(i, r + 1, k, s) for i, t in enumerate(texts) for r, (k, s) in enumerate(analysis.keyword_candidates(t, n, top))]
+        del called[:]
+        at, rank, keywords, scores = analysis._keywords(texts, n, top)
+        assert not called and list(zip(at, rank, keywords)) == [w[:3] for w in want]
+        assert scores == pytest.approx([w[3] for w in want], rel=1e-13)
+        for size in (1, 700):
+            monkeypatch.setattr(analysis, "CHARACTERS", size)
+            got = sorted(tuple(r) for r in analysis.keywords_of_texts(df, "id", "t", n, top).collect())
+            assert [g[:3] for g in got] == [w[:3] for w in want]
+
+
 def test_language_profiles_count_runs_without_a_row_each(spark, monkeypatch):
     texts = [("La  niña, el mar.", "es"), ("mar", "es"), (None, "es"), ("", "es"), ("The sea 3 \U0001d54f", "en"), ("x", None), ("mar " * 4000, "es")]
     want: dict = {}
