@@ -1,6 +1,7 @@
 """Operators on hand-made rows."""
 
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +64,28 @@ def test_ngrams_and_idf(spark):
     assert spark.range(1).select(tfidf.smooth_idf(F.lit(3), F.lit(3))).first()[0] == 1.0
 
 
+def test_ngrams_travel_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    texts = [" ".join(rng.choice(["mar", "sol", "ñu", "a", "\U0001f30a\U0001f30a", "x\0y", "m\u00a0m", '"q"'], rng.integers(0, 12))) for _ in range(150)] + [None, "", "mar", " mar\tsol ", "uno dos tres"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(3)
+    lists = [[w for w in re.split(r"[ \t]+", t or "") if len(w) >= 2] for t in texts]
+    for n in (1, 2, 3, 4):
+        want = {}
+        for w in lists:
+            for i in range(len(w) - n + 1):
+                want[" ".join(w[i : i + n])] = want.get(" ".join(w[i : i + n]), 0) + 1
+        for words, cells in ((4_000_000, 512), (9, 2)):
+            monkeypatch.setattr(ngrams, "WORDS", words)
+            monkeypatch.setattr(ngrams, "CELLS", cells)
+            out = ngrams.rank_ngrams(df, "t", n)
+            assert {(r.ngram, r.total_frequency): r.relative_frequency for r in out.collect()} == {(k, c): c / sum(want.values()) for k, c in want.items()}
+        if n in (2, 3):
+            assert "hashpartitioning(cell" in plan_of(out) and "hashpartitioning(ngram" not in plan_of(out)
+    few, counts = ngrams._counted([np.array([3, 0, 3]), np.array([1, 1, 1])], np.array([1, 2, 3]), 1 << 40)
+    assert [f.tolist() for f in few] == [[0, 3], [1, 1]] and counts.tolist() == [2, 4]
+    assert ngrams.ngram_counts(df.limit(0), "t", 3).count() == 0
+
+
 def test_cluster_keywords(spark):
     df = spark.createDataFrame([(1, 0, "sol mar sol"), (2, 0, ""), (3, 1, "rio mar"), (4, -1, "sol sol sol")], "id long, c int, t string")
     rows = {(r.cluster, r.term): (r["rank"], r.score, r.df, r.n_docs) for r in tfidf.cluster_keywords(df, "id", "c", "t", min_frequency=1).collect()}
